@@ -1,34 +1,55 @@
-"""Column expressions over timestamps without a time zone."""
+"""Column expressions over timestamps without a time zone.
+
+``timestampdiff`` reads such timestamps in the session's zone, where an hour is
+missing on the night clocks go forward. Subtracting them does not, so elapsed
+times are taken from the difference and agree in every session.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MICROS_PER_DAY = 86_400_000_000
+SECONDS_PER_DAY = 86_400
+
+
+def _seconds(start: Column, end: Column) -> Column:
+    return (end - start).cast("interval second").cast("decimal(18,6)")
 
 
-def _micros(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
 
 
 def elapsed_minutes(start: Column, end: Column) -> Column:
     """Signed fractional minutes from ``start`` to ``end``."""
-    return _micros(start, end) / F.lit(6e7)
+    return _seconds(start, end).cast("double") / F.lit(60.0)
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
     """Whole days from ``start`` to ``end``, rounded down (-12 h is -1)."""
-    micros = _micros(start, end)
-    day = F.lit(MICROS_PER_DAY)
-    # Taking the remainder off first leaves an exact multiple of a day, so the
-    # division cannot round a value just under midnight up.
-    return ((micros - F.pmod(micros, day)) / day).cast("long")
+    seconds = F.floor(_seconds(start, end)).cast("long")
+    return _div(seconds - F.pmod(seconds, F.lit(SECONDS_PER_DAY)), SECONDS_PER_DAY)
+
+
+def _days_rounded(start: Column, end: Column, days: int = 1) -> Column:
+    """Elapsed time in units of ``days`` days, rounded half away from zero to 8 places.
+
+    A day is 864 * 10**8 microseconds, so 8 places are steps of 864 and integer
+    division rounds exactly, without the decimal arithmetic of ``round``.
+    """
+    step = 864 * days
+    micros = F.rint(_seconds(start, end).cast("double") * F.lit(1e6)).cast("long")
+    half = F.when(micros < 0, F.lit(-step // 2)).otherwise(F.lit(step // 2))
+    return _div(micros + half, step) / F.lit(1e8)
 
 
 def los_days(start: Column, end: Column, scale: int = 8) -> Column:
     """Length of stay in days, rounded half up to ``scale`` places."""
-    return F.round(_micros(start, end) / F.lit(float(MICROS_PER_DAY)), scale)
+    if scale == 8:
+        return _days_rounded(start, end)
+    days = _seconds(start, end).cast("double") / F.lit(float(SECONDS_PER_DAY))
+    return F.round(days, scale)
 
 
 def days_between_dates(start: Column, end: Column) -> Column:
@@ -36,22 +57,33 @@ def days_between_dates(start: Column, end: Column) -> Column:
     return F.datediff(F.to_date(end), F.to_date(start))
 
 
+def _completed_years(start: Column, end: Column) -> Column:
+    def time_of_year(ts: Column) -> Column:
+        date = F.to_date(ts)
+        return F.struct(F.month(date), F.dayofmonth(date), ts - date.cast("timestamp_ntz"))
+
+    years = F.year(end) - F.year(start)
+    short = time_of_year(end) < time_of_year(start)
+    over = time_of_year(end) > time_of_year(start)
+    return F.when(end >= start, years - short.cast("int")).otherwise(years + over.cast("int"))
+
+
 def age_years(t: Column, dob: Column, method: str = "calendar") -> Column:
     """Age at ``t`` under one of four definitions.
 
-    ``calendar``  completed calendar years (integer)
+    ``calendar``  completed calendar years (integer, towards zero before birth)
     ``days``      whole elapsed days / 365.25
     ``dates``     difference of calendar dates / 365.25
     ``epoch``     elapsed time in 365-day years, rounded to 8 places
     """
     if method == "calendar":
-        return F.timestamp_diff("YEAR", dob, t)
+        return _completed_years(dob, t).cast("long")
     if method == "days":
         return elapsed_days(dob, t) / F.lit(365.25)
     if method == "dates":
         return days_between_dates(dob, t) / F.lit(365.25)
     if method == "epoch":
-        return F.round(_micros(dob, t) / F.lit(365.0 * MICROS_PER_DAY), 8)
+        return _days_rounded(dob, t, 365)
     raise ValueError(f"unknown age method: {method}")
 
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_END_OF_TIME = "9999-12-31 23:59:59.999999"
+
 
 def value_counts(
     df: DataFrame, value: str, by: Sequence[str] = (), keep_missing: bool = False
@@ -79,17 +81,23 @@ def slice_offsets(
     )
 
 
-def dense_rank_over(
-    df: DataFrame, by: Sequence[str], order: str, name: str
+def with_dense_rank(
+    df: DataFrame, population: DataFrame, by: Sequence[str], order: str, name: str
 ) -> DataFrame:
-    """``(*by, order, name)``: dense rank of each distinct timestamp in its group.
+    """Adds to each row the dense rank of its time among its group's rows of ``population``.
 
+    Group keys must not be null; a missing time ranks last, as the end of time.
     The distinct times are ranked day by day and offset by the days before, so
-    no task ranks a whole group. Null times rank last.
+    no task ranks a whole group.
     """
-    times = df.select(*by, order).distinct().withColumn("_day", F.to_date(order))
-    days = slice_offsets(times.withColumn("_n", F.lit(1)), "_n", "_day", by)
-    within = Window.partitionBy(*by, "_day").orderBy(F.col(order).asc_nulls_last())
-    return join_groups(times, days, [*by, "_day"]).select(
-        *by, order, (F.row_number().over(within) + F.col("before")).cast("long").alias(name)
+    moment = F.coalesce(F.col(order), F.lit(_END_OF_TIME).cast("timestamp_ntz"))
+    times = (
+        population.select(*by, moment.alias("_moment"))
+        .distinct()
+        .select("*", F.to_date("_moment").alias("_day"), F.lit(1).alias("_n"))
+    )
+    within = Window.partitionBy(*by, "_day").orderBy("_moment")
+    ranks = times.join(slice_offsets(times, "_n", "_day", by), [*by, "_day"]).select(
+        *by, "_moment", (F.row_number().over(within) + F.col("before")).alias(name)
     )
+    return df.withColumn("_moment", moment).join(ranks, [*by, "_moment"]).drop("_moment")

@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import age_years, los_days, map_by_list
-from cohortlens.operators.counts import dense_rank_over, join_groups
+from cohortlens.operators.counts import with_dense_rank
+from cohortlens.operators.relations import keep_by
+
+
+def _charted(admissions: DataFrame) -> DataFrame:
+    return admissions.filter("has_chartevents_data = 1").select(
+        "hadm_id",
+        F.col("subject_id").alias("adm_subject_id"),
+        "admittime",
+        "dischtime",
+        "ethnicity",
+        "hospital_expire_flag",
+    )
 
 
 def stays_with_admission(
@@ -19,16 +31,8 @@ def stays_with_admission(
     ``adm_subject_id`` is the admission's own patient, which dirty data may
     give differently from the stay's.
     """
-    charted = admissions.filter(F.col("has_chartevents_data") == 1).select(
-        "hadm_id",
-        F.col("subject_id").alias("adm_subject_id"),
-        "admittime",
-        "dischtime",
-        "ethnicity",
-        "hospital_expire_flag",
-    )
     people = patients.select("subject_id", "gender", "dob", "dod")
-    return stays.join(charted, "hadm_id").join(people, "subject_id")
+    return stays.join(_charted(admissions), "hadm_id").join(people, "subject_id")
 
 
 def stay_detail(
@@ -37,12 +41,22 @@ def stay_detail(
     patients: DataFrame,
     ethnicity_map: Mapping[str, Sequence[str]],
 ) -> DataFrame:
-    """One row per stay: demographics, lengths of stay, sequence numbers, first-stay flags."""
-    base = stays_with_admission(stays, admissions, patients)
-    hospital = dense_rank_over(base, ["adm_subject_id"], "admittime", "hospstay_seq")
-    unit = dense_rank_over(base, ["hadm_id"], "intime", "icustay_seq")
-    ranked = join_groups(base, hospital, ["adm_subject_id", "admittime"])
-    ranked = join_groups(ranked, unit, ["hadm_id", "intime"])
+    """One row per stay: demographics, lengths of stay, sequence numbers, first-stay flags.
+
+    Stays are numbered within their admission and admissions within their
+    patient. Each number is worked out on the narrow table it depends on, among
+    rows that reach the result: stays of known patients, and charted admissions
+    with such a stay.
+    """
+    known = keep_by(stays, patients, "subject_id")
+    numbered_stays = with_dense_rank(stays, known, ["hadm_id"], "intime", "icustay_seq")
+    charted = _charted(admissions)
+    visited = keep_by(charted, known, "hadm_id")
+    numbered_admissions = with_dense_rank(
+        charted, visited, ["adm_subject_id"], "admittime", "hospstay_seq"
+    )
+    people = patients.select("subject_id", "gender", "dob", "dod")
+    ranked = numbered_stays.join(numbered_admissions, "hadm_id").join(people, "subject_id")
     return ranked.select(
         "subject_id",
         "hadm_id",

@@ -8,19 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from cohortlens.sources.schemas import schema_of
 
 # Declaring the schemas saves the footer read that schema inference costs per file.
 _RAW = {
-    "customer": "c_custkey long",
-    "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string",
-    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double",
-    "part": "p_partkey long, p_name string, p_size int",
-    "events": (
-        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
-    ),
-    "documents": "doc_id long, text string, lang string, source string",
+    name: schema_of(columns)
+    for name, columns in {
+        "customer": "c_custkey long",
+        "orders": (
+            "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"
+        ),
+        "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double",
+        "part": "p_partkey long, p_name string, p_size int",
+        "events": (
+            "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+        ),
+        "documents": "doc_id long, text string, lang string, source string",
+    }.items()
 }
 
 
@@ -28,187 +34,162 @@ def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(_RAW[name]).parquet(f"{root}/{name}.parquet")
 
 
-def _ntz(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
-
-
-def _add(unit: str, n: Column, ts: Column) -> Column:
-    return F.timestamp_add(unit, n.cast("int"), ts)
-
-
 def patients(spark: SparkSession, root: str) -> DataFrame:
     latest = (
         _read(spark, root, "orders")
-        .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.max("o_orderdate").alias("latest"))
+        .groupBy("o_custkey")
+        .agg({"o_orderdate": "max"})
+        .toDF("c_custkey", "latest")
     )
-    key = F.col("c_custkey")
-    base = F.when(key % 40 == 0, _ntz("1620-01-01")).otherwise(_ntz("1920-01-01"))
     return (
         _read(spark, root, "customer")
         .join(latest, "c_custkey", "left")
-        .select(
-            key.alias("subject_id"),
-            F.when(key % 2 == 0, "F").otherwise("M").alias("gender"),
-            _add("DAY", key * 37 % 27000, base).alias("dob"),
-            F.when(key % 3 != 0, _add("DAY", key * 13 % 900 - 5, F.col("latest"))).alias("dod"),
+        .selectExpr(
+            "c_custkey AS subject_id",
+            "if(c_custkey % 2 = 0, 'F', 'M') AS gender",
+            "timestampadd(DAY, cast(c_custkey * 37 % 27000 AS int),"
+            " if(c_custkey % 40 = 0, timestamp_ntz'1620-01-01', timestamp_ntz'1920-01-01'))"
+            " AS dob",
+            "if(c_custkey % 3 <> 0,"
+            " timestampadd(DAY, cast(c_custkey * 13 % 900 - 5 AS int), latest), null) AS dod",
         )
     )
 
 
 def admissions(spark: SparkSession, root: str) -> DataFrame:
-    key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
-    admit = _add("HOUR", key % 24, F.col("o_orderdate"))
-    discharge = _add("HOUR", key * 7 % 360 + 12, admit)
-    ethnicity = (
-        "WHITE",
-        "WHITE - RUSSIAN",
-        "BLACK/AFRICAN AMERICAN",
-        "HISPANIC OR LATINO",
-        "ASIAN - ASIAN INDIAN",
-        "SOUTH AMERICAN",
-        "UNABLE TO OBTAIN",
-        "CARIBBEAN ISLAND",
-    )
-    return _read(spark, root, "orders").select(
-        F.col("o_custkey").alias("subject_id"),
-        key.alias("hadm_id"),
-        admit.alias("admittime"),
-        discharge.alias("dischtime"),
-        F.when(key % 20 == 0, discharge).alias("deathtime"),
-        F.when((priority == "5-LOW") & (key % 2 == 0), "HOSPICE-HOME")
-        .when(priority == "5-LOW", "DEAD/EXPIRED")
-        .when((priority == "4-NOT SPECIFIED") & (key % 4 == 0), F.lit(None))
-        .when(priority == "2-HIGH", "SNF")
-        .otherwise("HOME")
-        .alias("discharge_location"),
-        F.element_at(
-            F.array(*[F.lit(e) for e in ethnicity]), (F.col("o_custkey") % 8 + 1).cast("int")
-        ).alias("ethnicity"),
-        priority.alias("diagnosis"),
-        F.when(key % 20 == 0, 1).otherwise(0).alias("hospital_expire_flag"),
-        F.when(key % 10 == 0, 0).otherwise(1).alias("has_chartevents_data"),
+    return (
+        _read(spark, root, "orders")
+        .selectExpr(
+            "o_custkey AS subject_id",
+            "o_orderkey AS hadm_id",
+            "timestampadd(HOUR, cast(o_orderkey % 24 AS int), o_orderdate) AS admittime",
+            "timestampadd(HOUR, cast(o_orderkey % 24 + o_orderkey * 7 % 360 + 12 AS int),"
+            " o_orderdate) AS dischtime",
+            "o_orderpriority AS diagnosis",
+        )
+        .selectExpr(
+            "subject_id",
+            "hadm_id",
+            "admittime",
+            "dischtime",
+            "if(hadm_id % 20 = 0, dischtime, null) AS deathtime",
+            """CASE WHEN diagnosis = '5-LOW' AND hadm_id % 2 = 0 THEN 'HOSPICE-HOME'
+                    WHEN diagnosis = '5-LOW' THEN 'DEAD/EXPIRED'
+                    WHEN diagnosis = '4-NOT SPECIFIED' AND hadm_id % 4 = 0 THEN null
+                    WHEN diagnosis = '2-HIGH' THEN 'SNF'
+                    ELSE 'HOME' END AS discharge_location""",
+            """element_at(array('WHITE', 'WHITE - RUSSIAN', 'BLACK/AFRICAN AMERICAN',
+                    'HISPANIC OR LATINO', 'ASIAN - ASIAN INDIAN', 'SOUTH AMERICAN',
+                    'UNABLE TO OBTAIN', 'CARIBBEAN ISLAND'),
+                    cast(subject_id % 8 + 1 AS int)) AS ethnicity""",
+            "diagnosis",
+            "if(hadm_id % 20 = 0, 1, 0) AS hospital_expire_flag",
+            "if(hadm_id % 10 = 0, 0, 1) AS has_chartevents_data",
+        )
     )
 
 
 def icustays(spark: SparkSession, root: str) -> DataFrame:
     lines = (
         _read(spark, root, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("hadm_id"), "l_linenumber")
-        .agg(
-            F.min("l_partkey").alias("p"),
-            F.min("l_quantity").cast("long").alias("q"),
-        )
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg({"l_partkey": "min", "l_quantity": "min"})
+        .toDF("hadm_id", "line", "p", "q")
     )
-    intime = _add("HOUR", F.col("p") % 50 - 2, F.col("admittime"))
-    return lines.join(
-        admissions(spark, root).select("subject_id", "hadm_id", "admittime"), "hadm_id"
-    ).select(
-        "subject_id",
-        "hadm_id",
-        (F.col("hadm_id") * 10 + F.col("l_linenumber")).alias("icustay_id"),
-        intime.alias("intime"),
-        F.when(F.col("p") % 101 != 0, _add("HOUR", F.col("q") * 4, intime)).alias("outtime"),
+    return (
+        lines.join(
+            admissions(spark, root).select("subject_id", "hadm_id", "admittime"), "hadm_id"
+        )
+        .selectExpr(
+            "subject_id",
+            "hadm_id",
+            "hadm_id * 10 + line AS icustay_id",
+            "timestampadd(HOUR, cast(p % 50 - 2 AS int), admittime) AS intime",
+            "p",
+            "cast(q AS long) AS q",
+        )
+        .selectExpr(
+            "subject_id",
+            "hadm_id",
+            "icustay_id",
+            "intime",
+            "if(p % 101 <> 0, timestampadd(HOUR, cast(q * 4 AS int), intime), null) AS outtime",
+        )
     )
 
 
 def chartevents(spark: SparkSession, root: str) -> DataFrame:
-    key, kind, value = F.col("event_id"), F.col("event_type"), F.col("value")
-    signup = kind == "signup"
-    status_texts = (
-        "Full Code",
-        "Full code",
-        "Comfort Measures",
-        "Comfort measures only",
-        "CPR Not Indicate",
-        "DNI (do not intubate)",
-        "DNR / DNI",
-        "DNR (do not resuscitate)",
-        "Other/Remarks",
-        None,
-    )
     return (
         _read(spark, root, "events")
-        .filter(kind != "purchase")
-        .select(
-            F.col("user_id").alias("subject_id"),
-            (key % 1000).alias("hadm_id"),
-            (key % 1000 * 10 + 1 + key % 3).alias("icustay_id"),
-            F.when(kind == "view", 211)
-            .when(kind == "click", 220045)
-            .when(kind == "error", 5972)
-            .when(signup & (key % 2 == 0), 128)
-            .when(signup, 223758)
-            .alias("itemid"),
-            F.col("ts").alias("charttime"),
-            F.when(
-                signup,
-                F.element_at(
-                    F.array(*[F.lit(t) for t in status_texts]), (key % 10 + 1).cast("int")
-                ),
-            )
-            .when(key % 97 == 0, "abc")
-            .when(key % 89 == 0, F.lit(None))
-            .when(key % 83 == 0, "80d")
-            .otherwise(value.cast("string"))
-            .alias("value"),
-            F.when(~signup & (key % 89 != 0), value).alias("valuenum"),
-            F.when(key % 11 == 0, 1).when(key % 11 == 1, 0).alias("error"),
+        .filter("event_type <> 'purchase'")
+        .selectExpr(
+            "user_id AS subject_id",
+            "event_id % 1000 AS hadm_id",
+            "event_id % 1000 * 10 + 1 + event_id % 3 AS icustay_id",
+            """CASE WHEN event_type = 'view' THEN 211
+                    WHEN event_type = 'click' THEN 220045
+                    WHEN event_type = 'error' THEN 5972
+                    WHEN event_id % 2 = 0 THEN 128
+                    ELSE 223758 END AS itemid""",
+            "ts AS charttime",
+            """CASE WHEN event_type = 'signup' THEN
+                      element_at(array('Full Code', 'Full code', 'Comfort Measures',
+                        'Comfort measures only', 'CPR Not Indicate', 'DNI (do not intubate)',
+                        'DNR / DNI', 'DNR (do not resuscitate)', 'Other/Remarks', null),
+                        cast(event_id % 10 + 1 AS int))
+                    WHEN event_id % 97 = 0 THEN 'abc'
+                    WHEN event_id % 89 = 0 THEN null
+                    WHEN event_id % 83 = 0 THEN '80d'
+                    ELSE cast(value AS string) END AS value""",
+            "if(event_type <> 'signup' AND event_id % 89 <> 0, value, null) AS valuenum",
+            "CASE event_id % 11 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS error",
         )
     )
 
 
 def labevents(spark: SparkSession, root: str) -> DataFrame:
-    key, value = F.col("event_id"), F.col("value")
     return (
         _read(spark, root, "events")
-        .filter(F.col("event_type") == "purchase")
-        .select(
-            F.col("user_id").alias("subject_id"),
-            (key % 1000).alias("hadm_id"),
-            F.when(key % 2 == 0, 51300).otherwise(51301).alias("itemid"),
-            F.col("ts").alias("charttime"),
-            F.when(key % 53 == 0, F.lit(None).cast("double"))
-            .when(key % 59 == 0, -1.0)
-            .otherwise(value / 5)
-            .alias("valuenum"),
+        .filter("event_type = 'purchase'")
+        .selectExpr(
+            "user_id AS subject_id",
+            "event_id % 1000 AS hadm_id",
+            "if(event_id % 2 = 0, 51300, 51301) AS itemid",
+            "ts AS charttime",
+            """CASE WHEN event_id % 53 = 0 THEN null
+                    WHEN event_id % 59 = 0 THEN -1.0D
+                    ELSE value / 5 END AS valuenum""",
         )
     )
 
 
 def noteevents(spark: SparkSession, root: str) -> DataFrame:
-    key = F.col("doc_id")
-    length = F.length("source").cast("long")
-    start = _ntz("2020-01-01")
-    return _read(spark, root, "documents").select(
-        length.alias("subject_id"),
-        F.when(F.col("lang") == "de", F.lit(None)).otherwise(length).alias("hadm_id"),
-        F.when(key % 71 != 0, start).alias("charttime"),
-        _add("HOUR", key % 48, start).alias("storetime"),
-        F.col("lang").alias("category"),
-        F.col("source").alias("description"),
-        F.when(key % 83 != 0, F.col("text")).alias("text"),
-        F.when(key % 61 == 0, "1").when(key % 2 == 0, "0").alias("iserror"),
+    return _read(spark, root, "documents").selectExpr(
+        "cast(length(source) AS long) AS subject_id",
+        "if(lang = 'de', null, cast(length(source) AS long)) AS hadm_id",
+        "if(doc_id % 71 <> 0, timestamp_ntz'2020-01-01', null) AS charttime",
+        "timestampadd(HOUR, cast(doc_id % 48 AS int), timestamp_ntz'2020-01-01') AS storetime",
+        "lang AS category",
+        "source AS description",
+        "if(doc_id % 83 <> 0, text, null) AS text",
+        "CASE WHEN doc_id % 61 = 0 THEN '1' WHEN doc_id % 2 = 0 THEN '0' END AS iserror",
     )
 
 
 def diagnoses_icd(spark: SparkSession, root: str) -> DataFrame:
-    part = F.col("l_partkey")
-    return _read(spark, root, "lineitem").select(
-        F.col("l_orderkey").alias("hadm_id"),
-        F.when(part % 200 == 7, "V667")
-        .otherwise((part % 500).cast("string"))
-        .alias("icd9_code"),
+    return _read(spark, root, "lineitem").selectExpr(
+        "l_orderkey AS hadm_id",
+        "if(l_partkey % 200 = 7, 'V667', cast(l_partkey % 500 AS string)) AS icd9_code",
     )
 
 
 def d_icd_diagnoses(spark: SparkSession, root: str) -> DataFrame:
     return (
         _read(spark, root, "part")
-        .filter(F.col("p_partkey") < 500)
-        .select(
-            F.col("p_partkey").cast("string").alias("icd9_code"),
-            F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("long_title"),
+        .filter("p_partkey < 500")
+        .selectExpr(
+            "cast(p_partkey AS string) AS icd9_code",
+            "p_name || ' ' || cast(p_size AS string) AS long_title",
         )
     )
 
