@@ -57,15 +57,17 @@ def days_between_dates(start: Column, end: Column) -> Column:
     return F.datediff(F.to_date(end), F.to_date(start))
 
 
-def _completed_years(start: Column, end: Column) -> Column:
-    def time_of_year(ts: Column) -> Column:
-        date = F.to_date(ts)
-        return F.struct(F.month(date), F.dayofmonth(date), ts - date.cast("timestamp_ntz"))
+def _calendar_micros(ts: Column) -> Column:
+    """A number that orders times as calendars do: every month 100 days, every year 100 months."""
+    date = F.year(ts).cast("long") * 10_000 + F.month(ts) * 100 + F.dayofmonth(ts)
+    seconds = F.date_part(F.lit("SECOND"), ts) * F.lit(1_000_000)
+    minutes = date * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return minutes * F.lit(60_000_000) + seconds.cast("long")
+
 
-    years = F.year(end) - F.year(start)
-    short = time_of_year(end) < time_of_year(start)
-    over = time_of_year(end) > time_of_year(start)
-    return F.when(end >= start, years - short.cast("int")).otherwise(years + over.cast("int"))
+def _completed_years(start: Column, end: Column) -> Column:
+    year = 10_000 * SECONDS_PER_DAY * 1_000_000
+    return _div(_calendar_micros(end) - _calendar_micros(start), year)
 
 
 def age_years(t: Column, dob: Column, method: str = "calendar") -> Column:
@@ -77,7 +79,7 @@ def age_years(t: Column, dob: Column, method: str = "calendar") -> Column:
     ``epoch``     elapsed time in 365-day years, rounded to 8 places
     """
     if method == "calendar":
-        return _completed_years(dob, t).cast("long")
+        return _completed_years(dob, t)
     if method == "days":
         return elapsed_days(dob, t) / F.lit(365.25)
     if method == "dates":

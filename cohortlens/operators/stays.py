@@ -48,15 +48,14 @@ def stay_detail(
     rows that reach the result: stays of known patients, and charted admissions
     with such a stay.
     """
-    known = keep_by(stays, patients, "subject_id")
-    numbered_stays = with_dense_rank(stays, known, ["hadm_id"], "intime", "icustay_seq")
+    known = stays.join(patients.select("subject_id", "gender", "dob", "dod"), "subject_id")
+    numbered_stays = with_dense_rank(known, known, ["hadm_id"], "intime", "icustay_seq")
     charted = _charted(admissions)
     visited = keep_by(charted, known, "hadm_id")
     numbered_admissions = with_dense_rank(
         charted, visited, ["adm_subject_id"], "admittime", "hospstay_seq"
     )
-    people = patients.select("subject_id", "gender", "dob", "dod")
-    ranked = numbered_stays.join(numbered_admissions, "hadm_id").join(people, "subject_id")
+    ranked = numbered_stays.join(numbered_admissions, "hadm_id")
     return ranked.select(
         "subject_id",
         "hadm_id",
