@@ -1,0 +1,88 @@
+from cohortlens.operators.cohort import (
+    build_cohort,
+    demographics_of,
+    label_prevalence,
+    mortality_labels,
+)
+from cohortlens.operators.counts import value_counts, with_dense_rank
+from cohortlens.operators.distributions import (
+    box_stats,
+    density_2d,
+    describe_numeric,
+    histogram_auto,
+    histogram_fixed,
+    quantiles,
+)
+from cohortlens.operators.labs import abnormal_by_bucket, abnormal_overall
+from cohortlens.operators.ordering import (
+    audit_order,
+    delta_summary,
+    negative_deltas,
+    order_deltas,
+    order_flags,
+)
+from cohortlens.operators.relations import (
+    exclude_by,
+    keep_by,
+    latest_per_key,
+    lookup_with_default,
+    not_in,
+    sample_rows,
+)
+from cohortlens.operators.status import classify_status, status_per_admission, status_timeline
+from cohortlens.operators.stays import stay_detail, stays_with_admission
+from cohortlens.operators.survival import kaplan_meier
+from cohortlens.operators.titles import titles_per_group
+from cohortlens.operators.versions import (
+    size_summary,
+    version_by_category,
+    version_distribution,
+    version_sizes,
+    version_stats,
+    version_summary,
+)
+from cohortlens.operators.vitals import summarise_vitals, vital_measurements, vital_values
+
+__all__ = [
+    "abnormal_by_bucket",
+    "abnormal_overall",
+    "audit_order",
+    "box_stats",
+    "build_cohort",
+    "classify_status",
+    "delta_summary",
+    "demographics_of",
+    "density_2d",
+    "describe_numeric",
+    "exclude_by",
+    "histogram_auto",
+    "histogram_fixed",
+    "kaplan_meier",
+    "keep_by",
+    "label_prevalence",
+    "latest_per_key",
+    "lookup_with_default",
+    "mortality_labels",
+    "negative_deltas",
+    "not_in",
+    "order_deltas",
+    "order_flags",
+    "quantiles",
+    "sample_rows",
+    "size_summary",
+    "status_per_admission",
+    "status_timeline",
+    "stay_detail",
+    "stays_with_admission",
+    "summarise_vitals",
+    "titles_per_group",
+    "value_counts",
+    "version_by_category",
+    "version_distribution",
+    "version_sizes",
+    "version_stats",
+    "version_summary",
+    "vital_measurements",
+    "vital_values",
+    "with_dense_rank",
+]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import age_years, days_between_dates
 from cohortlens.operators.relations import keep_by, not_in
+from cohortlens.operators.stays import stays_with_admission
 
 
 def build_cohort(
@@ -49,12 +50,20 @@ def build_cohort(
     )
 
 
-def demographics_of(detail: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Distinct (patient, admission, gender, ethnicity) of the cohort's admissions."""
-    return keep_by(
-        detail.select("subject_id", "hadm_id", "gender", "ethnicity").distinct(),
-        cohort,
-        "hadm_id",
+def demographics_of(
+    stays: DataFrame, admissions: DataFrame, patients: DataFrame, cohort: DataFrame
+) -> DataFrame:
+    """Distinct (patient, admission, gender, ethnicity) of the cohort's charted stays.
+
+    Stays shrink to their keys first, so an admission or patient with very many
+    stays is combined before the joins.
+    """
+    pairs = stays.select("subject_id", "hadm_id").distinct()
+    detail = stays_with_admission(pairs, admissions, patients)
+    return (
+        keep_by(detail, cohort, "hadm_id")
+        .select("subject_id", "hadm_id", "gender", "ethnicity")
+        .distinct()
     )
 
 

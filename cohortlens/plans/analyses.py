@@ -281,12 +281,12 @@ def _with_race(df: DataFrame) -> DataFrame:
     )
 
 
-def _charted_stays(t: Tables) -> DataFrame:
-    return stays.stays_with_admission(t["icustays"], t["admissions"], t["patients"])
-
-
 def cohort_demographics(t: Tables) -> DataFrame:
-    return _with_race(cohorts.demographics_of(_charted_stays(t), cohort_excluding_status(t)))
+    return _with_race(
+        cohorts.demographics_of(
+            t["icustays"], t["admissions"], t["patients"], cohort_excluding_status(t)
+        )
+    )
 
 
 def mortality_labels(t: Tables) -> DataFrame:
@@ -304,8 +304,10 @@ def mortality_prevalence(t: Tables) -> DataFrame:
 def survival_by_group(t: Tables) -> DataFrame:
     """Days from discharge to death by race, for the two groups compared."""
     # One race per admission; were there several, the last in order counts.
+    pairs = t["icustays"].select("subject_id", "hadm_id").distinct()
+    charted = stays.stays_with_admission(pairs, t["admissions"], t["patients"])
     race = (
-        _with_race(_charted_stays(t).select("hadm_id", "ethnicity"))
+        _with_race(charted.select("hadm_id", "ethnicity"))
         .groupBy("hadm_id")
         .agg(F.max("race").alias("race"))
     )

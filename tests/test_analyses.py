@@ -8,7 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens import fixed_values as fixed
-from cohortlens.operators.cohort import build_cohort, label_prevalence, mortality_labels
+from cohortlens.operators.cohort import (
+    build_cohort,
+    demographics_of,
+    label_prevalence,
+    mortality_labels,
+)
 from cohortlens.operators.labs import abnormal_by_bucket, abnormal_overall
 from cohortlens.operators.ordering import audit_order, delta_summary, order_deltas
 from cohortlens.operators.status import classify_status, status_per_admission, status_timeline
@@ -230,6 +235,18 @@ def test_stay_detail_sequences(spark):
     assert (row["los_hospital"], row["los_icu"], row["ethnicity_grouped"]) == (7.0, 1.0, "white")
 
 
+def test_demographics_are_distinct_charted_and_in_the_cohort(spark):
+    adm = dict(subject_id=1, has_chartevents_data=1, ethnicity="WHITE")
+    admissions = table(
+        spark, "admissions", dict(adm, hadm_id=10), dict(adm, hadm_id=11),
+        dict(adm, hadm_id=12, has_chartevents_data=0), dict(adm, hadm_id=13),
+    )
+    stays = table(spark, "icustays", *[dict(subject_id=1, hadm_id=h, icustay_id=i) for i, h in enumerate([10, 10, 11, 12, None])])
+    patients = table(spark, "patients", dict(subject_id=1, gender="M"))
+    members = spark.createDataFrame([(10,), (12,), (13,)], "hadm_id long")
+    assert values(demographics_of(stays, admissions, patients, members)) == [(1, 10, "M", "WHITE")]
+
+
 # --- notes -----------------------------------------------------------------
 
 NOTE_KEYS = ["subject_id", "hadm_id", "charttime", "category", "description"]

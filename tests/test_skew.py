@@ -43,9 +43,10 @@ def rows_per_task(df):
     return [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
 
 
-def test_dense_rank_of_a_hot_key(spark, hot):
+@pytest.mark.parametrize("hot_rows", [0, 10, 100, 10**6])
+def test_dense_rank_of_a_hot_key(spark, hot, hot_rows):
     df = spark.createDataFrame([(k, T0 + timedelta(hours=s)) for k, s in hot], "k long, t timestamp_ntz")
-    got = with_dense_rank(df, df, ["k"], "t", "r").select("k", "t", "r").collect()
+    got = with_dense_rank(df, ["k"], "t", "r", hot_rows=hot_rows).select("k", "t", "r").collect()
     times = defaultdict(set)
     for k, s in hot:
         times[k].add(s)
@@ -55,7 +56,7 @@ def test_dense_rank_of_a_hot_key(spark, hot):
 
 def test_ranked_rows_of_a_hot_key_are_spread(spark, hot):
     df = spark.createDataFrame([(k, T0 + timedelta(hours=s)) for k, s in hot], "k long, t timestamp_ntz")
-    ranked = with_dense_rank(df, df, ["k"], "t", "r").filter("k = 0")
+    ranked = with_dense_rank(df, ["k"], "t", "r", hot_rows=100).filter("k = 0")
     sizes = rows_per_task(ranked)
     assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
 
