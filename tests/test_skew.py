@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from cohortlens import fixed_values as fixed
 from cohortlens.operators.counts import with_dense_rank
 from cohortlens.operators.distributions import box_stats, histogram_auto
+from cohortlens.operators.ordering import audit_order
 from cohortlens.operators.relations import latest_per_key
 from cohortlens.operators.status import status_timeline
 from cohortlens.operators.survival import kaplan_meier
 from cohortlens.operators.titles import titles_per_group
 from cohortlens.operators.versions import version_stats
+from cohortlens.operators.vitals import summarise_vitals, vital_values
 
 N = 6000
 T0 = dt(2150, 1, 1)
@@ -136,3 +138,56 @@ def test_curve_of_a_hot_group(spark, hot):
         survival *= 1 - died / at_risk
         assert (row["t"], row["at_risk"], row["events"]) == (t, at_risk, died)
         assert row["survival"] == pytest.approx(survival, rel=1e-9)
+
+
+@pytest.fixture
+def adaptive(bare, setting):
+    """Adaptive execution with thresholds low enough to call small partitions skewed."""
+    setting("spark.sql.adaptive.enabled", "true")
+    setting("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "4KB")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4KB")
+    setting("spark.sql.shuffle.partitions", "16")
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_on_a_hot_key_are_split(spark, hot, adaptive, tmp_path):
+    # Many map tasks, since a skewed partition is split between map outputs.
+    numbered = [(k, i, s) for i, (k, s) in enumerate(hot)]
+    spark.createDataFrame(numbered, "k long, i long, s long").repartition(16).write.parquet(str(tmp_path / "hot"))
+    rows = spark.read.parquet(str(tmp_path / "hot"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8KB")
+    try:
+        events = rows.selectExpr(
+            "k subject_id", "i hadm_id", "i icustay_id", "211 itemid",
+            "timestampadd(HOUR, cast(s as int), timestamp_ntz'2150-01-01') charttime",
+            "cast(s as string) value",
+        )
+        patients = spark.range(400).selectExpr(
+            "id subject_id", "'F' gender", "timestamp_ntz'2100-01-01' dob", "timestamp_ntz'2151-01-01' dod"
+        )
+        summary = summarise_vitals(vital_values(events, patients, [211]))
+        assert "SortMergeJoin(skew=true)" in final_plan(summary)
+        row = summary.first()
+        assert (row["n"], row["median_hr"]) == (N, float(np.median([s for _, s in hot])))
+
+        at = "timestampadd(HOUR, cast({} as int), timestamp_ntz'2150-01-01')"
+        stays = rows.selectExpr(
+            "k hadm_id", f"{at.format('s')} intime", f"{at.format('s + 5')} outtime"
+        )
+        admissions = spark.range(400).selectExpr(
+            "id hadm_id", f"{at.format(1000)} admittime", f"{at.format(3000)} dischtime"
+        )
+        audit = audit_order(
+            stays.join(admissions, "hadm_id"), "intime", "outtime", "admittime", "dischtime"
+        )
+        assert "SortMergeJoin(skew=true)" in final_plan(audit)
+        assert audit.first()["n_in_before"] == sum(s < 1000 for _, s in hot)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
