@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import new_path
+from cohortlens.llm.quality import judge_quality
 from cohortlens.llm.topk import top_k
 from cohortlens.llm.url_filter import UrlRule, host_path_rule, judge_urls
 from cohortlens.llm.warc import read_warc, write_warc
@@ -31,6 +32,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge_quality(docs).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("class_distance", 6).alias("class_distance"),
+        F.round("word_distance", 6).alias("word_distance"),
+    )
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, HOST_RULES, URL_PATTERNS).drop("url")
@@ -49,6 +66,7 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": quality,
     "op3_url_filter": url_filter,
     "op5_exact_topk": exact_topk,
     "op10_warc": warc,
