@@ -181,8 +181,8 @@ def judge_quality(
     max_repeat_percent: int = 50,
     judged_words: int = 50,
     judged_chars: int = 200,
-    max_class_distance: float = 0.2,
-    max_word_distance: float = 0.5,
+    max_class_distance: float = 0.27,
+    max_word_distance: float = 0.42,
     references: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` without its text, with the counts, base_failed, both distances and kept.
