@@ -32,14 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     It cuts the lineage: a lost executor costs the tasks that read it, not the
     work before it.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import new_path
+from cohortlens.llm.packing import pack
 from cohortlens.llm.quality import judge_quality
+from cohortlens.llm.simhash import simhash_components
 from cohortlens.llm.topk import top_k
 from cohortlens.llm.url_filter import UrlRule, host_path_rule, judge_urls
 from cohortlens.llm.warc import read_warc, write_warc
@@ -57,6 +59,26 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(_table(spark, sf_dir, "pages"), path)
@@ -69,5 +91,7 @@ QUERIES = {
     "op1_quality_rules": quality,
     "op3_url_filter": url_filter,
     "op5_exact_topk": exact_topk,
+    "op7_packing": packing,
+    "op9_simhash_neardup": simhash,
     "op10_warc": warc,
 }
