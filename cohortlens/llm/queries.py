@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import new_path
+from cohortlens.llm.lines import dedup_lines
 from cohortlens.llm.packing import pack
 from cohortlens.llm.quality import judge_quality
 from cohortlens.llm.simhash import simhash_components
@@ -55,6 +56,11 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, HOST_RULES, URL_PATTERNS).drop("url")
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -82,7 +88,7 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(_table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path).select(
+    return read_warc(spark, path, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid"
     )
 
@@ -90,6 +96,7 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": quality,
     "op3_url_filter": url_filter,
+    "op4_line_dedup": line_dedup,
     "op5_exact_topk": exact_topk,
     "op7_packing": packing,
     "op9_simhash_neardup": simhash,

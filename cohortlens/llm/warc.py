@@ -42,39 +42,37 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n")), F.lit(""))
 
 
-def plan_records(
+def plan_revisits(
     pages: DataFrame, *, page_id: str = "page_id", html: str = "html", min_revisit: int = 100
 ) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, refers_to) of each row; no payloads travel.
+    """(page_id, digest, refers_to) of the rows that become revisits; no payloads travel.
 
-    A null payload is empty. Rows that repeat an id with the same payload get the
-    same decision, so all rows of the smallest id are responses. A null id sorts
-    after all others and never becomes a response that others refer to.
+    Rows that repeat an id with the same payload get the same decision, so all rows
+    of the smallest id are responses. A null id sorts after all others.
     """
     payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-    rows = pages.select(
+    rows = pages.filter(F.octet_length(payload) >= min_revisit).select(
         F.col(f"`{page_id}`").cast("long").alias("page_id"),
-        F.octet_length(payload).cast("long").alias("payload_bytes"),
-        F.sha2(F.encode(payload, "UTF-8"), 256).alias("payload_digest"),
+        F.unhex(F.sha2(F.encode(payload, "UTF-8"), 256)).alias("digest"),
     )
     # Only digests that occur more than once are looked up, and each is repeated
     # for every salt, so the rows of a hot one meet it in many tasks.
     first = (
-        rows.filter(F.col("payload_bytes") >= min_revisit)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("payload_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rows.groupBy("digest")
+        .agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
+        .filter("n > 1 AND refers_to IS NOT NULL")
+        .select(
+            "digest",
+            "refers_to",
+            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        )
     )
     return (
         rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-        .join(first, ["payload_digest", "salt"], "left")
-        .select(
-            "page_id",
-            "payload_bytes",
-            "payload_digest",
-            F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("refers_to"),
-        )
+        .join(first, ["digest", "salt"])
+        .filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+        .select("page_id", "digest", "refers_to")
+        .distinct()
     )
 
 
@@ -93,17 +91,23 @@ def write_warc(
     Null payloads are empty, a null URL leaves its header line out, and an empty
     table writes no record. Rows are kept one for one.
     """
-    plan = plan_records(pages, page_id=page_id, html=html, min_revisit=min_revisit)
-    plan = plan.distinct().withColumnRenamed("page_id", "_id")
+    # Written first, so that its size is known: a small one is joined without a shuffle.
+    plan = stored(
+        plan_revisits(pages, page_id=page_id, html=html, min_revisit=min_revisit), "revisits"
+    ).withColumnsRenamed({"page_id": "_id", "digest": "_digest"})
     rows = pages.select(
         F.col(f"`{page_id}`").cast("long").alias("page_id"),
         F.col(f"`{url}`").alias("url"),
         F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("payload"),
-    ).withColumn("digest", F.sha2(F.encode("payload", "UTF-8"), 256))
+    ).select(
+        "*",
+        F.octet_length("payload").alias("payload_bytes"),
+        F.sha2(F.encode("payload", "UTF-8"), 256).alias("digest"),
+    )
     # An id belongs to one page, so this join has no hot key; the digest tells repeated ids apart.
     rows = rows.join(
         plan,
-        F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("payload_digest")),
+        F.col("page_id").eqNullSafe(F.col("_id")) & (F.unhex("digest") == F.col("_digest")),
         "left",
     )
     revisit = F.col("refers_to").isNotNull()
@@ -140,14 +144,9 @@ def write_warc(
     )
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, text): archives cut at every magic, with the byte after it as offset.
-
-    The text before the first magic of a file has offset 0; elsewhere the offset
-    counts the magic itself as the ten bytes before.
-    """
-    cut = len(MAGIC)
-    raw = (
+def _cuts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, text): archives cut at every magic, in the order of the splits."""
+    return (
         spark.read.option("lineSep", MAGIC)
         .text(path)
         .select(
@@ -155,150 +154,183 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("at"),
             F.col("value").alias("text"),
-            (F.octet_length("value") + cut).cast("long").alias("size"),
+            (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"),
         )
     )
+
+
+def _with_offsets(cuts: DataFrame) -> DataFrame:
+    """``cuts`` with the byte of its file where each text begins, after the magic.
+
+    The text before the first magic of a file has offset zero.
+    """
     inside = W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     # What a split holds, and where it starts in its file: one row for each split.
-    totals = raw.groupBy("file", "block").agg(F.sum("size").alias("total"))
+    totals = cuts.groupBy("file", "block").agg(F.sum("size").alias("total"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(
         "file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start")
     )
     return (
-        raw.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        cuts.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts, ["file", "block"])
-        .select("file", (F.col("start") + F.col("before")).alias("offset"), "text")
+        .withColumn("offset", F.col("start") + F.col("before"))
+        .drop("block", "at", "before", "start")
     )
 
 
-def candidate_records(pieces: DataFrame) -> DataFrame:
-    """(file, offset, successor) of each piece that follows a magic; null: no readable header."""
-    head = F.locate("\r\n\r\n", F.col("text"))
-    header = F.substring_index("text", "\r\n\r\n", 1)
-    length = F.regexp_extract(header, r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,18})[ \t]*(?:\r\n|$)", 1)
-    return pieces.select(
-        "file",
-        "offset",
-        F.when(
-            (head > 0) & (length != ""),
-            F.col("offset") + F.octet_length(header) + 4 + length.cast("long") + 4 + len(MAGIC),
-        ).alias("successor"),
-    ).filter("offset > 0")
+def _length(header: Column) -> Column:
+    pattern = r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,18})[ \t]*(?:\r\n|$)"
+    return F.nullif(F.regexp_extract(header, pattern, 1), F.lit("")).cast("long")
+
+
+def _parse(rows: DataFrame) -> DataFrame:
+    """``rows`` with header, block_bytes, http and payload of the record in ``text``.
+
+    ``block_bytes`` is null where no header ends, or it states no length. The payload
+    is what the record's block holds after its HTTP header.
+    """
+    end = F.locate("\r\n\r\n", F.col("text"))
+    rows = rows.withColumn(
+        "header", F.when(end > 0, F.substring_index("text", "\r\n\r\n", 1))
+    ).withColumn("block_bytes", _length(F.col("header")))
+    rows = rows.withColumn(
+        "body", F.expr("substring(text, locate('\\r\\n\\r\\n', text) + 4)")
+    )
+    rows = rows.withColumn("http", F.substring_index("body", "\r\n\r\n", 1))
+    stated = F.col("block_bytes") - F.octet_length("http") - 4
+    rest = F.encode(F.expr("substring(body, char_length(http) + 5)"), "UTF-8")
+    payload = F.decode(F.substring(rest, F.lit(1), F.greatest(stated, F.lit(0)).cast("int")), "UTF-8")
+    return rows.withColumn("payload", payload).drop("body")
 
 
 def reachable_records(candidates: DataFrame) -> DataFrame:
     """(file, offset) of the candidates on the chain from each file's first record.
 
-    Round k knows the first 2**k records of every chain and each candidate's
-    2**k-th successor. A chain ends where the successor is no candidate: at the end
-    of the file, or at damage.
+    ``candidates``: file, offset, successor. Round k knows the first 2**k records of
+    every chain and each candidate's 2**k-th successor. A chain ends where the
+    successor is no candidate: at the end of the file, or at damage.
     """
     spark = candidates.sparkSession
     jumps = stored(candidates.select("file", "offset", F.col("successor").alias("to")), "jumps")
-    known = jumps.filter(F.col("offset") == len(MAGIC)).select("file", "offset")
-    known = stored(known, "known")
+    places = jumps.select("file", "offset")
+    known = stored(places.filter(F.col("offset") == len(MAGIC)), "known")
     while True:
-        reached = (
-            known.join(jumps, ["file", "offset"])
-            .select("file", F.col("to").alias("offset"))
-            .join(jumps.select("file", "offset"), ["file", "offset"], "left_semi")
-        )
-        more = stored(reached, "known")
+        reached = known.join(jumps, ["file", "offset"]).select("file", F.col("to").alias("offset"))
+        more = stored(reached.join(places, ["file", "offset"], "left_semi"), "known")
         if not more.limit(1).count():
             return known
         target = jumps.select("file", F.col("offset").alias("to"), F.col("to").alias("further"))
         doubled = stored(
-            jumps.join(target, ["file", "to"]).select("file", "offset", F.col("further").alias("to")).unionByName(
-                # a candidate without a 2**k-th successor still marks a place that can be reached
-                jumps.join(target, ["file", "to"], "left_anti").select(
-                    "file", "offset", F.lit(None).cast("long").alias("to")
-                )
+            jumps.join(target, ["file", "to"], "left").select(
+                "file", "offset", F.col("further").alias("to")
             ),
             "jumps",
         )
         drop_stored(spark, jumps)
-        known, jumps = known.unionByName(more), doubled
+        known, jumps, places = known.unionByName(more), doubled, doubled.select("file", "offset")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """Every record on the boundary chain of each archive under ``path``.
 
     Columns: file, offset (of the magic), record_type, page_id, refers_to,
     target_uri, payload_digest (bare hexadecimal), payload_bytes (of the full
-    payload, from the HTTP header, so revisits have it too), payload (null for a
-    revisit), valid (a response's payload has the length and digest stated). Text
-    after the end of a chain is not returned. Archives without records give no rows.
+    payload, from the HTTP header, so revisits have it too), valid (a response's
+    payload has the length and digest stated; null for a revisit), and payload (null
+    for a revisit), which ``payloads=False`` leaves out. Text after the end of a chain
+    is not returned. Archives without records give no rows.
+
+    The first pass keeps headers, sizes and payload digests only. Texts are read a
+    second time where payloads are wanted, else only in files that have a record
+    which the magic cuts.
     """
-    pieces = stored(_pieces(spark, path), "pieces")
-    known = reachable_records(candidate_records(pieces))
-    # Cuts inside a payload belong to the last reached record before them.
+    first = _parse(_cuts(spark, path))
+    exact = F.octet_length("header") + F.col("block_bytes") + 8 == F.octet_length("text")
+    pieces = stored(
+        _with_offsets(
+            first.select(
+                "file",
+                "block",
+                "at",
+                "size",
+                "header",
+                "http",
+                "block_bytes",
+                F.coalesce(exact, F.lit(False)).alias("exact"),
+                F.octet_length("payload").alias("found_bytes"),
+                F.sha2(F.encode("payload", "UTF-8"), 256).alias("found_digest"),
+            )
+        ),
+        "pieces",
+    )
+    after = F.col("offset") + F.octet_length("header") + F.col("block_bytes") + 8 + len(MAGIC)
+    known = reachable_records(
+        pieces.filter("offset > 0").select("file", "offset", after.alias("successor"))
+    )
+    records = stored(pieces.join(known, ["file", "offset"], "left_semi"), "records")
+    cut = records.filter("NOT exact")
+    if payloads or cut.limit(1).count():
+        texts = _cuts(spark, path)
+        if not payloads:
+            texts = texts.join(cut.select("file").distinct(), "file", "left_semi")
+        whole = _parse(_stitched(_with_offsets(texts), records.select("file", "offset"))).select(
+            "file",
+            "offset",
+            "header",
+            "http",
+            "payload",
+            F.octet_length("payload").alias("found_bytes"),
+            F.sha2(F.encode("payload", "UTF-8"), 256).alias("found_digest"),
+        )
+        if not payloads:
+            columns = ["file", "offset", "header", "http", "found_bytes", "found_digest"]
+            whole = whole.join(cut.select("file", "offset"), ["file", "offset"], "left_semi")
+            whole = records.filter("exact").select(columns).unionByName(whole.select(columns))
+        records = whole
+    field = lambda name: F.nullif(
+        F.regexp_extract("header", rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r]*)", 1), F.lit("")
+    )
+    revisit = F.col("record_type") == "revisit"
+    found = records.select(
+        "file",
+        (F.col("offset") - len(MAGIC)).alias("offset"),
+        field("WARC-Type").alias("record_type"),
+        field("X-Page-Id").cast("long").alias("page_id"),
+        field("X-Refers-To-Page-Id").cast("long").alias("refers_to"),
+        field("WARC-Target-URI").alias("target_uri"),
+        F.regexp_replace(field("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"),
+        _length(F.col("http")).alias("payload_bytes"),
+        "found_bytes",
+        "found_digest",
+        *(["payload"] if payloads else []),
+    )
+    agrees = (F.col("found_bytes") == F.col("payload_bytes")) & (
+        F.col("found_digest") == F.col("payload_digest")
+    )
+    found = found.withColumn("valid", F.when(~revisit, agrees)).drop("found_bytes", "found_digest")
+    return found.withColumn("payload", F.when(~revisit, F.col("payload"))) if payloads else found
+
+
+def _stitched(cuts: DataFrame, records: DataFrame) -> DataFrame:
+    """(file, offset, text) of each record: its own cut and those up to the next record."""
     upto = W.partitionBy("file").orderBy("offset")
     owned = (
-        pieces.join(known.withColumn("reached", F.lit(True)), ["file", "offset"], "left")
-        .select("file", "offset", "text", F.when(F.col("reached"), F.col("offset")).alias("start"))
+        cuts.join(records.withColumn("start", F.col("offset")), ["file", "offset"], "left")
         .withColumn("record", F.last("start", ignorenulls=True).over(upto))
-        .filter("record is not null")
+        .filter("record IS NOT NULL")
     )
-    whole = owned.filter("start is not null").select("file", "record", "text")
     tails = (
-        owned.filter("start is null")
-        .groupBy("file", "record")
-        .agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("cuts"))
+        owned.filter("start IS NULL")
+        .groupBy("file", F.col("record").alias("offset"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("offset").alias("o"), "text"))).alias("cuts"))
         .select(
-            "file",
-            "record",
-            F.concat(F.lit(MAGIC), F.array_join("cuts.text", MAGIC)).alias("tail"),
+            "file", "offset", F.concat(F.lit(MAGIC), F.array_join("cuts.text", MAGIC)).alias("tail")
         )
     )
-    text = F.concat("text", F.coalesce("tail", F.lit("")))
-    header = F.col("header")
-    field = lambda name: F.nullif(
-        F.regexp_extract(header, rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r]*)", 1), F.lit("")
-    )
-    block = F.encode(F.substring_index(F.col("body"), "\r\n\r\n", 1), "UTF-8")
     return (
-        whole.join(tails, ["file", "record"], "left")
-        .select("file", "record", text.alias("all"))
-        .select(
-            "file",
-            "record",
-            F.substring_index("all", "\r\n\r\n", 1).alias("header"),
-            F.expr("substring(all, locate('\\r\\n\\r\\n', all) + 4)").alias("body"),
-        )
-        .select(
-            "file",
-            (F.col("record") - len(MAGIC)).alias("offset"),
-            field("WARC-Type").alias("record_type"),
-            field("X-Page-Id").cast("long").alias("page_id"),
-            field("X-Refers-To-Page-Id").cast("long").alias("refers_to"),
-            field("WARC-Target-URI").alias("target_uri"),
-            F.regexp_replace(field("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"),
-            F.regexp_extract(
-                F.substring_index("body", "\r\n\r\n", 1), r"(?i)\r\nContent-Length: ([0-9]+)", 1
-            ).cast("long").alias("payload_bytes"),
-            (field("Content-Length").cast("long") - F.octet_length(block) - 4).alias("stored_bytes"),
-            # The record's bytes after the HTTP header; the closing line breaks lie beyond.
-            F.expr(
-                "decode(substring(encode(substring(body, locate('\\r\\n\\r\\n', body) + 4), 'UTF-8'), 1,"
-                " cast(regexp_extract(header, '(?i)(?:^|\\r\\n)Content-Length:[ \\t]*([0-9]+)', 1) AS int)"
-                " - octet_length(substring_index(body, '\\r\\n\\r\\n', 1)) - 4), 'UTF-8')"
-            ).alias("payload"),
-        )
-        .select(
-            "file",
-            "offset",
-            "record_type",
-            "page_id",
-            "refers_to",
-            "target_uri",
-            "payload_digest",
-            "payload_bytes",
-            F.when(F.col("record_type") != "revisit", F.col("payload")).alias("payload"),
-            F.when(
-                F.col("record_type") != "revisit",
-                (F.octet_length("payload") == F.col("payload_bytes"))
-                & (F.sha2(F.encode("payload", "UTF-8"), 256) == F.col("payload_digest")),
-            ).alias("valid"),
-        )
+        owned.filter("start IS NOT NULL")
+        .select("file", "offset", "text")
+        .join(tails, ["file", "offset"], "left")
+        .select("file", "offset", F.concat("text", F.coalesce("tail", F.lit(""))).alias("text"))
     )
