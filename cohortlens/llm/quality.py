@@ -26,6 +26,8 @@ CODES = "0ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # One reference row for each language is broadcast up to this many; beyond, they are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
 
+# Characters by class: the counts of a document, and of all documents of a language.
+CLASSES = ("_upper", "_digit", "_white", "n_symbols", "_point", "_other")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -36,22 +38,16 @@ def _count(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(left)).cast("long")
 
 
-def _matching(text: Column, pattern: str) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
+def _holding(text: Column, characters: str) -> Column:
+    """How many characters of a class of the regular expression's kind ``text`` has."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("long")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters that are upper case, digits, white space, symbols, punctuation, and others."""
-    upper, digit = _matching(text, r"\p{Lu}+"), _matching(text, "[0-9]+")
-    point = _matching(text, r"[.,;:!?'\"()\[\]{}-]+")
-    white, symbol = _count(text, WHITE), _count(text, SYMBOLS)
-    other = F.length(text).cast("long") - upper - digit - point - white - symbol
-    return F.array(upper, digit, white, symbol, point, other)
-
-
-def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda x: x / total)
+def _shares(counts: list[Column]) -> Column:
+    total = counts[0]
+    for c in counts[1:]:
+        total = total + c
+    return F.array(*[c / total for c in counts])
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -66,10 +62,10 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def language_references(
-    docs: DataFrame, *, text: str = "text", lang: str = "lang", n_common: int = 20, min_words: int = 1000
+def common_words(
+    docs: DataFrame, *, text: str = "text", lang: str = "lang", n_common: int = 16, min_words: int = 1000
 ) -> DataFrame:
-    """(lang, ref_classes, ref_words, ref_shares) of each language with ``min_words`` words or more.
+    """(lang, ref_words, ref_shares) of each language with ``min_words`` words or more.
 
     All documents of a language count. ``ref_words`` are its ``n_common`` most
     frequent words, lower-cased, ties in the order of the words; ``ref_shares`` has
@@ -77,20 +73,13 @@ def language_references(
     """
     if n_common >= len(CODES):
         raise ValueError(f"n_common must be under {len(CODES)}")
-    known = docs.select(
-        F.col(f"`{lang}`").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
-    ).filter("lang is not null")
-    counts = class_counts(F.col("text"))
-    classes = (
-        known.select("lang", counts.alias("c"))
-        .groupBy("lang")
-        .agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(6)])
-        .select("lang", _shares(F.array(*[f"c{i}" for i in range(6)])).alias("ref_classes"))
-    )
-    words = (
-        known.select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
+    known = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+    words = stored(
+        known.filter("lang is not null")
+        .select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
         .groupBy("lang", "word")
-        .count()
+        .count(),
+        "words",
     )
     totals = words.groupBy("lang").agg(F.sum("count").alias("total")).filter(F.col("total") >= min_words)
     order = W.partitionBy("lang").orderBy(F.desc("count"), F.asc("word"))
@@ -102,20 +91,17 @@ def language_references(
     )
     share = F.transform("top.count", lambda x: x / F.col("total"))
     rest = F.lit(1.0) - F.aggregate(share, F.lit(0.0), lambda a, x: a + x)
-    return (
-        classes.join(totals, "lang")
-        .join(common, "lang")
-        .select(
-            "lang",
-            "ref_classes",
-            F.col("top.word").alias("ref_words"),
-            F.concat(F.array(F.greatest(rest, F.lit(0.0))), share).alias("ref_shares"),
-        )
+    return totals.join(common, "lang").select(
+        "lang",
+        F.col("top.word").alias("ref_words"),
+        F.concat(F.array(F.greatest(rest, F.lit(0.0))), share).alias("ref_shares"),
     )
 
 
 def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_words`` and the counts of :data:`COUNTS`; a null text has none.
+    """``docs`` with the counts of :data:`COUNTS`, and columns that later steps use.
+
+    A null text has no words.
 
     ``n_repeat_words`` is the number of words that lie in a window of three words
     found twice or more in the text, each word once.
@@ -125,16 +111,18 @@ def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select(*kept, words_of(F.col(f"`{text}`")).alias("_words"), lines.alias("_lines"))
-    window = lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(3)])
+    window = lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))
     rows = rows.select(
         *kept,
         "_words",
         F.size("_words").cast("long").alias("n_words"),
-        (F.length(body) - _count(body, WHITE)).cast("long").alias("word_chars"),
+        F.length(body).cast("long").alias("_chars"),
+        _count(body, WHITE).alias("_white"),
         _count(body, SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(
-            F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), window)
+            F.size("_words") >= 3,
+            F.slice(F.transform("_words", window), F.lit(1), F.size("_words") - 2),
         ).alias("_windows"),
     )
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -166,7 +154,12 @@ def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(
         *[F.col(f"`{c}`") for c in names],
         "_words",
-        *COUNTS[:4],
+        "_chars",
+        "_white",
+        "n_words",
+        (F.col("_chars") - F.col("_white")).alias("word_chars"),
+        "n_symbols",
+        "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
     )
 
@@ -176,14 +169,14 @@ def judge_quality(
     *,
     text: str = "text",
     lang: str = "lang",
-    n_common: int = 20,
+    n_common: int = 16,
     min_words: int = 50,
     max_repeat_percent: int = 50,
     judged_words: int = 50,
     judged_chars: int = 200,
+    reference_words: int = 1000,
     max_class_distance: float = 0.27,
     max_word_distance: float = 0.42,
-    references: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` without its text, with the counts, base_failed, both distances and kept.
 
@@ -191,53 +184,87 @@ def judge_quality(
     of them in repeated windows. Otherwise a document is kept unless a distance
     exceeds its bound. Distances are null, and pass, where the document has fewer
     than ``judged_words`` words or ``judged_chars`` characters, has no language, or
-    its language has no reference. A null text counts as an empty one. Rows are kept
-    one for one, repeated ones too; input columns called like a result are replaced.
+    its language has fewer than ``reference_words`` words in all. A null text counts
+    as an empty one. Rows are kept one for one, repeated ones too; input columns
+    called like a result are replaced.
+
+    The texts are read twice, for the words of the languages and for the documents'
+    own counts, which are written; all else works on those counts.
     """
     results = (*COUNTS, "base_failed", "class_distance", "word_distance", "kept")
-    if references is None:
-        references = language_references(docs, text=text, lang=lang, n_common=n_common)
-    references = stored(references, "references").withColumnRenamed("lang", "_lang")
-    if references.count() <= BROADCAST_LANGUAGES:
-        references = F.broadcast(references)
+    words = _small(
+        common_words(docs, text=text, lang=lang, n_common=n_common, min_words=reference_words)
+    )
     carried = [c for c in docs.columns if c not in results and c != text]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = quality_counts(docs.drop(*[c for c in results if c != text]), text)
-    rows = rows.join(references, F.col(f"`{lang}`") == F.col("_lang"), "left")
+    rows = rows.join(words.withColumnRenamed("lang", "_lang"), F.col(f"`{lang}`") == F.col("_lang"), "left")
+    code = F.transform(
+        "_words",
+        lambda w: F.substring(
+            F.lit(CODES), (F.array_position("ref_words", F.lower(w)) + 1).cast("int"), F.lit(1)
+        ),
+    )
+    keep = [F.col(f"`{c}`") for c in carried]
+    rows = rows.select(
+        *keep,
+        *COUNTS,
+        "_lang",
+        "_chars",
+        "_white",
+        _holding(body, "A-Z").alias("_upper"),
+        _holding(body, "0-9").alias("_digit"),
+        _holding(body, r".,;:!?'\"()\[\]{}-").alias("_point"),
+        F.array_join(code, "").alias("_code"),
+        "ref_shares",
+    )
+    uses = [_count(F.col("_code"), c) for c in CODES[: n_common + 1]]
+    word_distance = js_distance(
+        # a language may have fewer words than n_common
+        F.slice(_shares(uses), F.lit(1), F.size("ref_shares")),
+        F.col("ref_shares"),
+    )
     judged = (
         F.col("_lang").isNotNull()
         & (F.col("n_words") >= judged_words)
-        & (F.length(body) >= judged_chars)
+        & (F.col("_chars") >= judged_chars)
     )
-    code = F.transform(
-        "_words",
-        lambda w: F.substring(F.lit(CODES), (F.array_position("ref_words", F.lower(w)) + 1).cast("int"), F.lit(1)),
+    rows = stored(
+        rows.select(
+            *keep,
+            *COUNTS,
+            "_lang",
+            *[c for c in CLASSES[:-1] if c not in COUNTS],
+            (F.col("_chars") - sum((F.col(c) for c in CLASSES[1:-1]), F.col(CLASSES[0]))).alias("_other"),
+            judged.alias("_judged"),
+            F.when(judged, word_distance).alias("word_distance"),
+        ),
+        "counts",
+    )
+    classes = _small(
+        rows.filter("_lang IS NOT NULL")
+        .groupBy("_lang")
+        .agg(*[F.sum(c).alias(c) for c in CLASSES])
+        .select(F.col("_lang").alias("_of"), _shares([F.col(c) for c in CLASSES]).alias("ref_classes"))
     )
     failed = (F.col("n_words") < min_words) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_percent) * F.col("n_words")
     )
-    rows = rows.select(
-        *[F.col(f"`{c}`") for c in carried],
+    class_distance = js_distance(_shares([F.col(c) for c in CLASSES]), F.col("ref_classes"))
+    rows = rows.join(classes, F.col("_lang") == F.col("_of"), "left").select(
+        *keep,
         *COUNTS,
         failed.alias("base_failed"),
-        F.when(judged, class_counts(body)).alias("_classes"),
-        F.when(judged, F.array_join(code, "")).alias("_code"),
-        "ref_classes",
-        "ref_shares",
-    )
-    uses = F.array(*[_count(F.col("_code"), c) for c in CODES[: n_common + 1]])
-    rows = rows.select(
-        *[F.col(f"`{c}`") for c in carried],
-        *COUNTS,
-        "base_failed",
-        js_distance(_shares(F.col("_classes")), F.col("ref_classes")).alias("class_distance"),
-        js_distance(
-            # a language may have fewer words than n_common
-            F.slice(_shares(uses), F.lit(1), F.coalesce(F.size("ref_shares"), F.lit(0))),
-            F.col("ref_shares"),
-        ).alias("word_distance"),
+        F.when(F.col("_judged"), class_distance).alias("class_distance"),
+        "word_distance",
     )
     diverges = (F.col("class_distance") > max_class_distance) | (
         F.col("word_distance") > max_word_distance
     )
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(diverges, F.lit(False)))
+
+
+def _small(references: DataFrame) -> DataFrame:
+    """One row for each language, broadcast if there are few enough."""
+    references = stored(references, "references")
+    return F.broadcast(references) if references.count() <= BROADCAST_LANGUAGES else references
