@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import new_path
+from cohortlens.llm.crf import identify_languages
 from cohortlens.llm.lines import dedup_lines
 from cohortlens.llm.packing import pack
 from cohortlens.llm.quality import judge_quality
@@ -65,6 +66,17 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    return identify_languages(docs, learn=remainder != 2, carry=["doc_id"], spans=False).select(
+        "doc_id",
+        F.coalesce(remainder == 2, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -98,6 +110,7 @@ QUERIES = {
     "op3_url_filter": url_filter,
     "op4_line_dedup": line_dedup,
     "op5_exact_topk": exact_topk,
+    "op6_language_id": language_id,
     "op7_packing": packing,
     "op9_simhash_neardup": simhash,
     "op10_warc": warc,
