@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import new_path
 from cohortlens.llm.crf import identify_languages
 from cohortlens.llm.lines import dedup_lines
+from cohortlens.llm.mixing import mix
 from cohortlens.llm.packing import pack
 from cohortlens.llm.quality import judge_quality
 from cohortlens.llm.simhash import simhash_components
@@ -77,6 +78,20 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mix_levels() -> dict[str, Column]:
+    """Domain, language and source; a domain is a family of sources, by the number in their name."""
+    number = F.regexp_extract("source", "[0-9]{1,9}", 0)
+    family = F.when(number != "", F.concat(F.lit("d"), (number.cast("long") % 3).cast("string")))
+    return {"domain": F.coalesce(family, F.lit("other")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+MIX_WEIGHTS = {"domain": {"d0": 2}, "lang": {"en": 2}}
+
+
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), mix_levels(), weights=MIX_WEIGHTS)
+
+
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -112,6 +127,7 @@ QUERIES = {
     "op5_exact_topk": exact_topk,
     "op6_language_id": language_id,
     "op7_packing": packing,
+    "op8_mixing": mixing,
     "op9_simhash_neardup": simhash,
     "op10_warc": warc,
 }

@@ -76,8 +76,65 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM firsts
 """
 
+
+
+def _fill(source: str, parents: str, level: str) -> str:
+    family = f"PARTITION BY {parents}" if parents else ""
+    keys = f"{parents}, {level}" if parents else level
+    return f"""
+    SELECT {keys}, CASE WHEN whole THEN cap
+                        ELSE least(((given - coalesce(used, 0))::HUGEINT * weight // spare)::BIGINT, cap)
+                   END AS given
+    FROM (SELECT *, sum(CASE WHEN whole THEN cap END) OVER fam AS used,
+                 sum(CASE WHEN NOT whole THEN weight END) OVER fam AS spare
+          FROM (SELECT *, cap::HUGEINT * rest <= (given - coalesce(earlier, 0))::HUGEINT * weight AS whole
+                FROM (SELECT *, sum(cap) OVER (fam ORDER BY cap / weight, {level}
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier,
+                             sum(weight) OVER (fam ORDER BY cap / weight, {level}
+                                               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+                      FROM {source} WINDOW fam AS ({family})))
+          WINDOW fam AS ({family}))"""
+
+
+MIXING = f"""
+WITH tokens AS (
+  SELECT doc_id, 'd' || (regexp_extract(source, '[0-9]+')::BIGINT % 3) AS domain, lang, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 2 * sum(n_tokens)::BIGINT AS cap
+  FROM tokens GROUP BY ALL
+), c1 AS (
+  SELECT domain, sum(cap)::BIGINT AS cap, CASE domain WHEN 'd0' THEN 2 ELSE 1 END AS weight,
+         (SELECT sum(tokens)::BIGINT * 90 // 100 FROM leaves) AS given
+  FROM leaves GROUP BY domain
+), b1 AS ({_fill("c1", "", "domain")}
+), c2 AS (
+  SELECT domain, lang, sum(cap)::BIGINT AS cap, CASE lang WHEN 'en' THEN 2 ELSE 1 END AS weight,
+         any_value(given) AS given
+  FROM leaves JOIN b1 USING (domain) GROUP BY domain, lang
+), b2 AS ({_fill("c2", "domain", "lang")}
+), c3 AS (
+  SELECT domain, lang, source, cap, 1 AS weight, given FROM leaves JOIN b2 USING (domain, lang)
+), b3 AS ({_fill("c3", "domain, lang", "source")}
+), plan AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS epochs,
+         CASE WHEN tokens > 0 THEN given % tokens ELSE -1 END AS rest
+  FROM leaves JOIN b3 USING (domain, lang, source)
+), placed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+                                ORDER BY md5('0:' || (epochs + 1) || ':' || doc_id), doc_id
+                                ROWS UNBOUNDED PRECEDING) AS upto
+  FROM tokens JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens,
+       (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies
+FROM placed
+"""
+
 ORACLE_SQL = {
     "op3_url_filter": URL_FILTER,
     "op5_exact_topk": EXACT_TOPK,
+    "op8_mixing": MIXING,
     "op10_warc": WARC,
 }
