@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import stored, words_of
 
 SYMBOLS = "#*$%&|<>"
-WHITE = " \t\n\x0b\f\r"
 # One letter for each common word in a document's code string; "0" stands for other words.
 CODES = "0ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # One reference row for each language is broadcast up to this many; beyond, they are joined by shuffle.
@@ -117,7 +116,7 @@ def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "_words",
         F.size("_words").cast("long").alias("n_words"),
         F.length(body).cast("long").alias("_chars"),
-        _count(body, WHITE).alias("_white"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         _count(body, SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(
@@ -130,7 +129,7 @@ def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "_sorted",
         F.when(
             repeats,
-            F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     ).drop("_windows")
     again = F.filter(
@@ -143,7 +142,7 @@ def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda i: i.isNotNull(),
     )
-    rows = rows.withColumn("_starts", F.array_sort(again)).drop("_sorted")
+    rows = rows.withColumn("_starts", F.sort_array(again)).drop("_sorted")
     covered = F.aggregate(
         F.transform(
             "_starts", lambda s, j: F.least(F.lit(3), F.coalesce(F.get("_starts", j + 1) - s, F.lit(3)))
@@ -155,9 +154,9 @@ def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         *[F.col(f"`{c}`") for c in names],
         "_words",
         "_chars",
-        "_white",
+        (F.col("_chars") - F.col("word_chars")).alias("_white"),
         "n_words",
-        (F.col("_chars") - F.col("_white")).alias("word_chars"),
+        "word_chars",
         "n_symbols",
         "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
