@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import new_path
 from cohortlens.llm.crf import identify_languages
+from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.lines import dedup_lines
 from cohortlens.llm.mixing import mix
 from cohortlens.llm.packing import pack
@@ -53,6 +54,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, HOST_RULES, URL_PATTERNS).drop("url")
@@ -122,6 +127,7 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": quality,
+    "op2_license_scan": license_scan,
     "op3_url_filter": url_filter,
     "op4_line_dedup": line_dedup,
     "op5_exact_topk": exact_topk,
