@@ -62,7 +62,7 @@ TEMPLATES = {
 
 def winnow(hashes: list[int], window: int) -> list[int]:
     """Places of the smallest hash of every ``window`` successive ones, the last of equals."""
-    window = min(window, len(hashes))
+    window = max(1, min(window, len(hashes)))
     kept = set()
     for at in range(len(hashes) - window + 1):
         kept.add(min(range(at, at + window), key=lambda i: (hashes[i], -i)))

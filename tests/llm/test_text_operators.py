@@ -1,0 +1,254 @@
+"""Operators on texts against brute force, and their edge rows."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.llm.crf import LanguageModel, fit, identify_languages, marginals, words_in
+from cohortlens.llm.licenses import TEMPLATES, TemplateIndex, scan_licenses, scan_text, winnow
+from cohortlens.llm.packing import Encoder, pack, padding, sequences
+from cohortlens.llm.quality import judge_quality
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, texts, lang="en"):
+    rows = [(i, t, lang, "src0", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+# quality
+
+
+def base_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {
+        i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)
+    }
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        sum(c in "#*$%&|<>" for w in words for c in w),
+        len(lines) - len(set(lines)),
+        len(repeated),
+    )
+
+
+EDGES = [
+    None,
+    "",
+    " \n\t ",
+    "a",
+    "a b",
+    "a b c",
+    "a a a a",
+    "x y z x y z\nq\nq\n\nq",
+    "é ü #$ | <b>\r\nzwei  drei",
+    "😀 word " * 40,
+    "long " * 50_000,
+]
+
+
+def test_quality_counts_match_brute_force(spark, sample):
+    texts = EDGES + [r["text"] for r in sample.collect()]
+    got = judge_quality(documents(spark, texts)).collect()
+    for row in got:
+        want = base_counts(texts[row["doc_id"]])
+        assert tuple(row[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        assert row["base_failed"] == failed and not (failed and row["kept"])
+    assert len(got) == len(texts)
+
+
+def shannon_distance(p, q):
+    p, q = np.array(p, float) / sum(p), np.array(q, float)
+    m = (p + q) / 2
+    part = lambda v: sum(x * np.log2(x / y) for x, y in zip(v, m) if x > 0)
+    return np.sqrt((part(p) + part(q)) / 2)
+
+
+def test_word_distance_matches_brute_force(spark, sample):
+    rows = {r["doc_id"]: r for r in sample.collect()}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    totals = {}
+    for r in rows.values():
+        totals.setdefault(r["lang"], Counter()).update(split(r["text"]))
+    checked = 0
+    for got in judge_quality(sample).collect():
+        counts = totals[rows[got["doc_id"]]["lang"]]
+        if got["word_distance"] is None:
+            continue
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:16]
+        own, total = Counter(split(rows[got["doc_id"]]["text"])), sum(counts.values())
+        p = [own[w] for w, _ in top]
+        q = [n / total for _, n in top]
+        want = shannon_distance([sum(own.values()) - sum(p), *p], [1 - sum(q), *q])
+        assert got["word_distance"] == pytest.approx(want, abs=1e-9)
+        checked += 1
+    assert checked > 100
+
+
+def test_quality_keeps_clean_and_drops_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = judge_quality(docs).filter("NOT base_failed").join(labels, "doc_id")
+    share = {r["quality"]: r["s"] for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[1] > 0.99 and share.get(0, 0) < 0.05
+
+
+def test_quality_edge_tables(spark):
+    empty = documents(spark, []).withColumn("kept", F.lit("mine"))
+    assert judge_quality(empty).count() == 0
+    text = "one two three four five six seven eight nine ten " * 10
+    docs = documents(spark, [text, text], lang=None).withColumn("n_words", F.lit(-1))
+    rows = judge_quality(docs.union(docs)).collect()
+    assert len(rows) == 4 and {r["word_distance"] for r in rows} == {None} and {r["n_words"] for r in rows} == {100}
+
+
+# licenses
+
+
+def test_winnow_keeps_one_of_every_window():
+    hashes = [5, 3, 3, 9, 1, 7, 8]
+    kept = winnow(hashes, 3)
+    assert kept == [2, 4] and all(any(a <= k < a + 3 for k in kept) for a in range(5))
+    assert winnow([4, 2], 5) == [1] and winnow([], 3) == []
+
+
+def test_license_matches_and_spans():
+    index = TemplateIndex(TEMPLATES)
+    notice, mit = TEMPLATES["MIT notice"], TEMPLATES["MIT"]
+    text = f"head words {notice} middle {notice} é {mit.replace('free of charge', 'at no charge')} tail"
+    found = scan_text(text, index, 0.8)
+    assert [f[0] for f in found] == ["MIT", "MIT notice", "MIT notice"]
+    assert [text[a:b] for _, _, _, a, b in found[1:]] == [notice[:-1]] * 2
+    assert text[found[0][3] :].startswith("Permission is hereby") and 0.9 < found[0][2] < 1
+    assert scan_text("The MIT License was Released last year", index, 0.8) == []
+
+
+def test_license_edge_rows(spark):
+    docs = documents(spark, [None, "", "no license", TEMPLATES["ISC"], TEMPLATES["ISC"], "word " * 100_000])
+    rows = scan_licenses(docs.withColumn("template", F.lit("x"))).collect()
+    assert [(r["doc_id"], r["template"], r["coverage"]) for r in rows] == [(3, "ISC", 1.0), (4, "ISC", 1.0)]
+    assert scan_licenses(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        TemplateIndex({"short": "two words"})
+
+
+def test_license_scan_finds_planted_lines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {
+        (r["doc_id"], name) for r in docs.collect() for name, t in TEMPLATES.items() if t in r["text"]
+    }
+    got = {(r["doc_id"], r["template"]) for r in scan_licenses(docs).collect()}
+    assert want and want <= got
+
+
+# languages
+
+
+def test_marginals_match_a_plain_sweep():
+    rng = np.random.default_rng(1)
+    n = 3
+    model = LanguageModel(list("abc"), np.zeros((1, n)), rng.normal(size=(n, n)), rng.normal(size=n))
+    lengths = np.array([0, 1, 64, 65, 300, 0, 5])
+    scores = rng.normal(size=(lengths.sum(), n)) * 2
+    got = marginals(model, scores, lengths)
+    at = 0
+    for length in lengths:
+        own = np.exp(scores[at : at + length])
+        ahead, behind = np.zeros((length, n)), np.ones((length, n))
+        for t in range(length):
+            ahead[t] = own[t] * (np.exp(model.starts) if t == 0 else ahead[t - 1] @ np.exp(model.moves))
+            ahead[t] /= ahead[t].sum()
+        for t in range(length - 2, -1, -1):
+            behind[t] = np.exp(model.moves) @ (own[t + 1] * behind[t + 1])
+            behind[t] /= behind[t].sum()
+        want = ahead * behind
+        want /= want.sum(axis=1, keepdims=True) if length else 1
+        np.testing.assert_allclose(got[at : at + length], want, atol=1e-8)
+        at += length
+
+
+def test_held_out_accuracy_and_rejections(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    odd = documents(spark, [None, "", "123 !!"], lang=None).withColumn("doc_id", F.col("doc_id") + 10**9)
+    got = identify_languages(docs.union(odd), learn=remainder != 2, rounds=20).collect()
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [r for r in got if r["doc_id"] in truth and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in got) and len(got) == docs.count() + 3
+    assert {(r["lang_pred"], r["score"]) for r in got if r["doc_id"] >= 10**9} == {("und", 0.0)}
+
+
+def test_switched_text_gets_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    parts = {r["lang"]: r["text"] for r in docs.filter("n_chars > 1000").collect()}
+    mixed = " ".join(words_in(parts["de"])[:60] + words_in(parts["es"])[:60])
+    learn = docs.unionByName(documents(spark, [mixed], lang=None).withColumn("doc_id", F.lit(-1).cast("long")))
+    row = identify_languages(learn, rounds=20).filter("doc_id = -1").first()
+    by_lang = Counter()
+    for s in row["spans"]:
+        by_lang[s["lang"]] += s["end"] - s["begin"]
+    assert by_lang["de"] > 50 and by_lang["es"] > 50 and row["spans"][0]["lang"] == "de"
+
+
+def test_nothing_learned_is_undetermined(spark):
+    got = identify_languages(documents(spark, ["some text", None], lang=None)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)] * 2
+    assert identify_languages(documents(spark, [])).count() == 0
+    assert fit([("hello", "en")]).languages == ["en"]
+
+
+# packing
+
+
+def test_encoder_equals_the_tokenizers_library(sample):
+    encode = Encoder()
+    odd = ["", "a <|endoftext|> b", "  \n\n\t x", "é😀日本", "a" * 3000, " " * 3000, "1234567 'll don't"]
+    for text in odd + [r["text"] for r in sample.collect()]:
+        assert encode(text).tolist() == encode.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_pack_is_gapless_and_whole(spark, sample):
+    encode = Encoder()
+    docs = documents(spark, [None, "", "x", "word " * 5000, "twin", "twin"]).unionByName(
+        sample.withColumn("doc_id", F.col("doc_id") + 100)
+    )
+    docs = docs.withColumn("offset", F.lit("clash")).repartition(3)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    pieces = pack(docs, length=128).orderBy("sequence_id", "offset").collect()
+    place, ids = 0, {}
+    for p in pieces:
+        assert (p["sequence_id"], p["offset"]) == divmod(place, 128)
+        assert len(p["ids"]) == 4 * p["length"] and 0 < p["length"] <= 128 - p["offset"]
+        place += p["length"]
+        ids.setdefault(p["doc_id"], []).append(p)
+    assert ids.keys() == texts.keys()
+    for doc, own in ids.items():
+        own.sort(key=lambda p: p["start"])
+        whole = np.frombuffer(b"".join(p["ids"] for p in own), "<u4").tolist()
+        assert whole == [*(encode(texts[doc]).tolist() if texts[doc] else []), 0]
+        assert {p["doc_tokens"] for p in own} == {len(whole)}
+
+
+def test_sequences_and_padding(spark):
+    pieces = pack(documents(spark, ["word " * 300, "b"]), length=64)
+    rows = sequences(pieces).orderBy("sequence_id").collect()
+    assert [len(r["ids"]) for r in rows[:-1]] == [256] * (len(rows) - 1)
+    pads = {r["sequence_id"]: (r["tokens"], r["padding"]) for r in padding(pieces, 64).collect()}
+    last = max(pads)
+    assert pads[0] == (64, 0) and pads[last][1] in (0, 64 - pads[last][0])
+    assert pack(documents(spark, [])).count() == 0
