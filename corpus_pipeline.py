@@ -33,12 +33,13 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one line of each group; a document that loses all its text goes with it.
+    """Keep one line of each group; a document that loses its last line of five words goes with it.
 
-    Other documents stay, those without text included. ``n_chars`` follows the text.
+    Documents that lose no line stay, those without text included. ``n_chars`` follows
+    the text.
     """
     rows = dedup_lines(docs.select(*COLUMNS))
-    gone = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\s]")
+    gone = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"(?:\p{L}+[^\p{L}\n]+){4}\p{L}")
     rows = rows.filter(~F.coalesce(gone, F.lit(False)))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return rows.withColumn("n_chars", changed).select(*COLUMNS)
