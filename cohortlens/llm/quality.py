@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import stored, words_of
 
 SYMBOLS = "#*$%&|<>"
-# One letter for each common word in a document's code string; "0" stands for other words.
+# One letter for each common word in a document's code string; "0" stands for words as short that are none.
 CODES = "0ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # One reference row for each language is broadcast up to this many; beyond, they are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
@@ -62,13 +62,13 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def common_words(
-    docs: DataFrame, *, text: str = "text", lang: str = "lang", n_common: int = 16, min_words: int = 1000
+    docs: DataFrame, *, text: str = "text", lang: str = "lang", n_common: int = 10, min_words: int = 1000
 ) -> DataFrame:
-    """(lang, ref_words, ref_shares) of each language with ``min_words`` words or more.
+    """(lang, ref_words, _longest, ref_shares) of each language with ``min_words`` words or more.
 
     All documents of a language count. ``ref_words`` are its ``n_common`` most
-    frequent words, lower-cased, ties in the order of the words; ``ref_shares`` has
-    the share of all other words first. Documents without a language count nowhere.
+    frequent words, lower-cased, ties in the order of the words; ``_longest`` is the
+    length of the longest; ``ref_shares`` has the share of all other words first. Documents without a language count nowhere.
     """
     if n_common >= len(CODES):
         raise ValueError(f"n_common must be under {len(CODES)}")
@@ -93,6 +93,7 @@ def common_words(
     return totals.join(common, "lang").select(
         "lang",
         F.col("top.word").alias("ref_words"),
+        F.array_max(F.transform("top.word", F.length)).alias("_longest"),
         F.concat(F.array(F.greatest(rest, F.lit(0.0))), share).alias("ref_shares"),
     )
 
@@ -168,7 +169,7 @@ def judge_quality(
     *,
     text: str = "text",
     lang: str = "lang",
-    n_common: int = 16,
+    n_common: int = 10,
     min_words: int = 50,
     max_repeat_percent: int = 50,
     judged_words: int = 50,
@@ -198,8 +199,9 @@ def judge_quality(
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = quality_counts(docs.drop(*[c for c in results if c != text]), text)
     rows = rows.join(words.withColumnRenamed("lang", "_lang"), F.col(f"`{lang}`") == F.col("_lang"), "left")
+    # Common words are short, so most others need no look at the list.
     code = F.transform(
-        "_words",
+        F.filter("_words", lambda w: F.length(w) <= F.col("_longest")),
         lambda w: F.substring(
             F.lit(CODES), (F.array_position("ref_words", F.lower(w)) + 1).cast("int"), F.lit(1)
         ),
@@ -217,12 +219,12 @@ def judge_quality(
         F.array_join(code, "").alias("_code"),
         "ref_shares",
     )
-    uses = [_count(F.col("_code"), c) for c in CODES[: n_common + 1]]
-    word_distance = js_distance(
-        # a language may have fewer words than n_common
-        F.slice(_shares(uses), F.lit(1), F.size("ref_shares")),
-        F.col("ref_shares"),
-    )
+    uses = [_count(F.col("_code"), c) for c in CODES[1 : n_common + 1]]
+    other = F.col("n_words") - F.length(F.translate("_code", "0", ""))
+    rows = rows.withColumn("_uses", F.array(other.cast("long"), *uses)).drop("_code")
+    shares = F.transform("_uses", lambda x: x / F.col("n_words"))
+    # a language may have fewer words than n_common
+    word_distance = js_distance(F.slice(shares, F.lit(1), F.size("ref_shares")), F.col("ref_shares"))
     judged = (
         F.col("_lang").isNotNull()
         & (F.col("n_words") >= judged_words)

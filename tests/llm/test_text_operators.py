@@ -89,7 +89,7 @@ def test_word_distance_matches_brute_force(spark, sample):
         counts = totals[rows[got["doc_id"]]["lang"]]
         if got["word_distance"] is None:
             continue
-        top = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:16]
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:10]
         own, total = Counter(split(rows[got["doc_id"]]["text"])), sum(counts.values())
         p = [own[w] for w, _ in top]
         q = [n / total for _, n in top]
