@@ -81,41 +81,13 @@ def slice_offsets(
     )
 
 
-def with_dense_rank(
-    df: DataFrame,
-    by: Sequence[str],
-    order: str,
-    name: str,
-    sizes: DataFrame | None = None,
-    hot_rows: int = 1_000_000,
-) -> DataFrame:
+def with_dense_rank(df: DataFrame, by: Sequence[str], order: str, name: str) -> DataFrame:
     """Adds the dense rank of each row's time in its group; a missing time ranks last.
 
-    A group of up to ``hot_rows`` rows is ranked by an ordinary window. The
-    keys of larger groups go another way: their distinct times are ranked day by
-    day and offset by the days before, so that no task sorts a whole group. There
-    are at most rows / ``hot_rows`` such keys, few enough to broadcast.
-
-    ``sizes`` is a frame cheaper to count than ``df``, with at least as many
-    rows per key.
+    The distinct times of a group are ranked day by day and offset by the days
+    before, so no task sorts a whole group, however large it is or whether its key
+    is null. Distinct times combine on the map side.
     """
-    keys = list(by)
-    hot = F.broadcast(
-        (df if sizes is None else sizes)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*keys)
-    )
-    in_order = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
-    usual = df.join(hot, keys, "left_anti").withColumn(
-        name, F.dense_rank().over(in_order).cast("long")
-    )
-    large = df.join(hot, keys, "left_semi")
-    return usual.unionByName(_ranked_by_day(large, keys, order, name))
-
-
-def _ranked_by_day(df: DataFrame, by: Sequence[str], order: str, name: str) -> DataFrame:
     moment = F.coalesce(F.col(order), F.lit(_END_OF_TIME).cast("timestamp_ntz"))
     times = (
         df.select(*by, moment.alias("_moment"))
@@ -123,11 +95,10 @@ def _ranked_by_day(df: DataFrame, by: Sequence[str], order: str, name: str) -> D
         .select("*", F.to_date("_moment").alias("_day"), F.lit(1).alias("_n"))
     )
     within = Window.partitionBy(*by, "_day").orderBy("_moment")
-    ranks = times.join(slice_offsets(times, "_n", "_day", by), [*by, "_day"]).select(
+    offsets = slice_offsets(times, "_n", "_day", by)
+    ranks = join_groups(times, offsets, [*by, "_day"]).select(
         *by, "_moment", (F.row_number().over(within) + F.col("before")).alias(name)
     )
-    return (
-        df.withColumn("_moment", moment)
-        .join(ranks, [*by, "_moment"])
-        .select(*df.columns, name)
+    return join_groups(df.withColumn("_moment", moment), ranks, [*by, "_moment"]).select(
+        *df.columns, name
     )

@@ -49,11 +49,11 @@ def stay_detail(
     with such a stay.
     """
     known = stays.join(patients.select("subject_id", "gender", "dob", "dod"), "subject_id")
-    numbered_stays = with_dense_rank(known, ["hadm_id"], "intime", "icustay_seq", sizes=stays)
+    numbered_stays = with_dense_rank(known, ["hadm_id"], "intime", "icustay_seq")
     charted = _charted(admissions)
     visited = keep_by(charted, known, "hadm_id")
     numbered_admissions = with_dense_rank(
-        visited, ["adm_subject_id"], "admittime", "hospstay_seq", sizes=charted
+        visited, ["adm_subject_id"], "admittime", "hospstay_seq"
     )
     ranked = numbered_stays.join(numbered_admissions, "hadm_id")
     return ranked.select(

@@ -22,6 +22,7 @@ from cohortlens.operators import distributions as dist
 from cohortlens.operators import labs, ordering, status, stays, versions, vitals
 from cohortlens.operators.relations import (
     exclude_by,
+    keep_by,
     latest_per_key,
     lookup_with_default,
     sample_rows,
@@ -304,14 +305,16 @@ def mortality_prevalence(t: Tables) -> DataFrame:
 def survival_by_group(t: Tables) -> DataFrame:
     """Days from discharge to death by race, for the two groups compared."""
     # One race per admission; were there several, the last in order counts.
-    pairs = t["icustays"].select("subject_id", "hadm_id").distinct()
+    # Only the cohort's stays meet the large joins.
+    cohort = cohort_excluding_status(t)
+    pairs = keep_by(t["icustays"].select("subject_id", "hadm_id"), cohort, "hadm_id").distinct()
     charted = stays.stays_with_admission(pairs, t["admissions"], t["patients"])
     race = (
         _with_race(charted.select("hadm_id", "ethnicity"))
         .groupBy("hadm_id")
         .agg(F.max("race").alias("race"))
     )
-    died = cohort_excluding_status(t).filter(F.col("dod").isNotNull())
+    died = cohort.filter(F.col("dod").isNotNull())
     timed = lookup_with_default(died, race, "hadm_id", "race", "unk").select(
         "race", elapsed_days(F.col("dischtime"), F.col("dod")).alias("days")
     )

@@ -72,7 +72,8 @@ def admissions(spark: SparkSession, root: str) -> DataFrame:
             "hadm_id",
             "admittime",
             "dischtime",
-            "if(hadm_id % 20 = 0, dischtime, null) AS deathtime",
+            "if(hadm_id % 20 = 0, timestampadd(HOUR, cast(hadm_id % 7 * 31 - 20 AS int),"
+            " dischtime), null) AS deathtime",
             """CASE WHEN diagnosis = '5-LOW' AND hadm_id % 2 = 0 THEN 'HOSPICE-HOME'
                     WHEN diagnosis = '5-LOW' THEN 'DEAD/EXPIRED'
                     WHEN diagnosis = '4-NOT SPECIFIED' AND hadm_id % 4 = 0 THEN null
@@ -179,14 +180,13 @@ def noteevents(spark: SparkSession, root: str) -> DataFrame:
 def diagnoses_icd(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, "lineitem").selectExpr(
         "l_orderkey AS hadm_id",
-        "if(l_partkey % 200 = 7, 'V667', cast(l_partkey % 500 AS string)) AS icd9_code",
+        "if(l_partkey % 200 = 7, 'V667', cast(l_partkey AS string)) AS icd9_code",
     )
 
 
 def d_icd_diagnoses(spark: SparkSession, root: str) -> DataFrame:
     return (
         _read(spark, root, "part")
-        .filter("p_partkey < 500")
         .selectExpr(
             "cast(p_partkey AS string) AS icd9_code",
             "p_name || ' ' || cast(p_size AS string) AS long_title",

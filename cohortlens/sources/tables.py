@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.sources.schemas import SCHEMAS
 
+# Tables with a column of free text, which may hold line breaks.
+FREE_TEXT = ("noteevents",)
+
 
 def load_tables(
     spark: SparkSession,
@@ -17,6 +21,9 @@ def load_tables(
     options: Mapping[str, str] | None = None,
     sample: float | None = None,
     seed: int = 0,
+    bad_values: str = "null",
+    schema: str | None = None,
+    table_options: Mapping[str, Mapping[str, str]] | None = None,
 ) -> dict[str, DataFrame]:
     """Clinical tables by name, read lazily with their declared schemas.
 
@@ -25,31 +32,71 @@ def load_tables(
     names and headers: pass ``options={"extension": ".csv.gz", "upper": "true"}``
     to point at ``ADMISSIONS.csv.gz``. ``sample`` keeps that fraction of the
     rows of every table, for development.
+
+    CSV notes may run over several lines, so files of :data:`FREE_TEXT` tables are
+    read with ``multiLine`` unless ``options`` says otherwise. Spark cannot split
+    such files: convert them to Parquet once. A cell that does not fit its type
+    becomes null, or, with ``bad_values="fail"``, stops the job; :func:`unreadable_cells`
+    counts them. For JDBC, ``schema`` names the tables' schema, and ``table_options``
+    gives options by table, such as the partitioning of a large one.
     """
+    if bad_values not in ("null", "fail"):
+        raise ValueError("bad_values must be 'null' or 'fail'")
     options = dict(options or {})
     extension = options.pop("extension", f".{fmt}")
     upper = options.pop("upper", "false").lower() == "true"
     loaded = {}
-    for name in tables or SCHEMAS:
-        schema = SCHEMAS[name]
+    for name in SCHEMAS if tables is None else tables:
+        columns = SCHEMAS[name]
         reader = spark.read.format(fmt)
+        own = {**options, **(table_options or {}).get(name, {})}
         stored = name.upper() if upper else name
         if fmt == "jdbc":
-            df = reader.options(**{"url": root, "dbtable": stored, **options}).load()
-            df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema])
+            df = reader.options(**jdbc_options(root, stored, schema, own)).load()
+            df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in columns])
         elif fmt == "csv":
             # Files may hold more columns than the schema names, so columns are
             # found by header name and cast, never by position.
-            df = reader.options(**{"header": "true", "escape": '"', **options}).load(
-                f"{root}/{stored}{extension}"
+            df = reader.options(**csv_options(name, own)).load(f"{root}/{stored}{extension}")
+            kind = "cast" if bad_values == "fail" else "try_cast"
+            df = df.select(
+                *[getattr(df[f.name], kind)(f.dataType).alias(f.name) for f in columns]
             )
-            df = df.select(*[df[f.name].try_cast(f.dataType).alias(f.name) for f in schema])
         else:
-            df = reader.options(**options).schema(schema).load(f"{root}/{stored}{extension}")
+            df = reader.options(**own).schema(columns).load(f"{root}/{stored}{extension}")
         loaded[name] = df.sample(fraction=sample, seed=seed) if sample is not None else df
     return loaded
 
 
+def csv_options(name: str, own: Mapping[str, str] = {}) -> dict[str, str]:  # noqa: B006
+    """Reader options of a CSV table; ``own`` decides where it says something."""
+    several_lines = "true" if name in FREE_TEXT else "false"
+    return {"header": "true", "escape": '"', "multiLine": several_lines, **own}
+
+
+def jdbc_options(
+    url: str, table: str, schema: str | None = None, own: Mapping[str, str] = {}  # noqa: B006
+) -> dict[str, str]:
+    """Reader options of a database table; its timestamps carry no zone, as in the schemas."""
+    named = f"{schema}.{table}" if schema else table
+    return {"url": url, "dbtable": named, "preferTimestampNTZ": "true", **own}
+
+
+def unreadable_cells(texts: DataFrame, name: str) -> DataFrame:
+    """(table, column, n): cells of ``texts`` that hold something, but not a value of the column's type.
+
+    ``texts`` has the columns of table ``name`` as strings.
+    """
+    columns = SCHEMAS[name]
+    bad = [
+        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+        for f in columns
+    ]
+    counts = texts.agg(*[b.alias(f.name) for b, f in zip(bad, columns)])
+    rows = [F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("n")) for f in columns]
+    return counts.select(F.lit(name).alias("table"), F.inline(F.array(*rows)))
+
+
 def save_table(
     df: DataFrame, name: str, mode: str = "overwrite", temp: bool = True
 ) -> DataFrame:

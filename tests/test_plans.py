@@ -26,13 +26,12 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(analyses.ANALYSES))
 def test_plan_is_distributed(spark, static, name):
     plan = plan_of(queries()[name](spark, SF))
     for banned in ("CartesianProduct", "NestedLoopJoin", "Python", "ArrowEval"):
         assert banned not in plan, banned
-    # Only the keys of groups over a million rows are broadcast whatever the settings.
-    assert ("BroadcastExchange" in plan) == (name == "icu_stay_detail")
+    assert "BroadcastExchange" not in plan
     # Every window is partitioned: its plan node ends in the list of partition
     # keys, which is not empty, and the list of sort keys, if any.
     for node in re.findall(r"Window \[.*", plan):

@@ -4,6 +4,7 @@ import pytest
 
 from cohortlens.sources import SCHEMAS, item_values, load_tables, preview, save_table
 from cohortlens.sources.synthetic import ClinicalViews
+from cohortlens.sources.tables import jdbc_options, unreadable_cells
 from tests.conftest import values
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +52,7 @@ def test_csv_notes_over_several_lines(spark, tmp_path):
         "subject_id,hadm_id,charttime,storetime,category,description,text,iserror\n"
         '1,2,2150-01-01,2150-01-01 10:00:00,c,d,"line ""one""\nline two",\n'
     )
-    df = load_tables(spark, str(tmp_path), "csv", ["noteevents"], {"multiLine": "true"})["noteevents"]
+    df = load_tables(spark, str(tmp_path), "csv", ["noteevents"])["noteevents"]
     row = df.first()
     assert row["text"] == 'line "one"\nline two' and row["iserror"] is None
     assert row["charttime"] == dt(2150, 1, 1)
@@ -80,3 +81,28 @@ def test_bound_item_query(spark):
 
 def test_preview_is_ordered(spark):
     assert values(preview(spark.range(10), 2, "id")) == [(0,), (1,)]
+
+
+def test_no_tables_asked_for_loads_none(spark, tmp_path):
+    assert load_tables(spark, str(tmp_path), "csv", []) == {}
+
+
+def test_bad_cells_are_counted_or_stop_the_job(spark, tmp_path):
+    (tmp_path / "labevents.csv").write_text(
+        "subject_id,hadm_id,itemid,charttime,valuenum\n1,x,51300,not a time,4.5\n2,,51301,2150-01-01,\n"
+    )
+    load = lambda **how: load_tables(spark, str(tmp_path), "csv", ["labevents"], **how)["labevents"]
+    assert values(load(), "subject_id")[0] == (1, None, 51300, None, 4.5)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        load(bad_values="fail").collect()
+    with pytest.raises(ValueError):
+        load(bad_values="keep")
+    texts = spark.read.csv(str(tmp_path / "labevents.csv"), header=True)
+    counts = {r["column"]: r["n"] for r in unreadable_cells(texts, "labevents").collect()}
+    assert counts == {"subject_id": 0, "hadm_id": 1, "itemid": 0, "charttime": 1, "valuenum": 0}
+
+
+def test_jdbc_options_name_the_schema_and_keep_zoneless_times():
+    options = jdbc_options("jdbc:x", "labevents", "clinical", {"numPartitions": "9"})
+    assert options == {"url": "jdbc:x", "dbtable": "clinical.labevents", "preferTimestampNTZ": "true", "numPartitions": "9"}
+    assert jdbc_options("jdbc:x", "labevents")["dbtable"] == "labevents"
