@@ -60,3 +60,22 @@ def words_of(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def longs_as_text(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with those of ``names`` that are longs as text, for a pandas function to carry along.
+
+    Pandas turns integers beside a null into doubles, which garble those above 2^53.
+    :func:`longs_again` turns them back.
+    """
+    return df.withColumns(
+        {n: F.col(f"`{n}`").cast("string") for n, kind in df.dtypes if kind == "bigint" and n in names}
+    )
+
+
+def longs_again(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` with the columns that are longs in ``like`` as longs again."""
+    longs = {n for n, kind in like.dtypes if kind == "bigint"}
+    return df.withColumns(
+        {n: F.col(f"`{n}`").cast("long") for n, kind in df.dtypes if kind == "string" and n in longs}
+    )

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import stored
+from cohortlens.llm.common import longs_again, longs_as_text, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 CHUNK = 64
@@ -330,12 +330,14 @@ def identify_languages(
     if not model.languages:
         model = LanguageModel(["und"], np.zeros((1, 1)), np.zeros((1, 1)), np.zeros(1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried = longs_as_text(rows, names)
     kept = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"
+        f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields if f.name != "_text"
     )
     kind = "lang_pred string, score double, n_letter_words long"
     kind += ", spans array<struct<begin: int, end: int, lang: string>>" if spans else ""
-    found = rows.mapInPandas(_predict(shared, spans), f"{kept}, {kind}" if kept else kind)
+    found = carried.mapInPandas(_predict(shared, spans), f"{kept}, {kind}" if kept else kind)
+    found = longs_again(found, rows)
     if model.languages == ["und"]:
         found = found.withColumn("score", F.lit(0.0))
     return found

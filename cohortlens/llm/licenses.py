@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import longs_again, longs_as_text
+
 WORD = re.compile(r"\w+")
 
 # Public license notices, as their stewards ask for them to be stated.
@@ -200,7 +202,8 @@ def scan_licenses(
     """
     index = TemplateIndex(templates, run, window)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    carried = longs_as_text(rows, ["doc_id"])
+    kind = carried.schema["doc_id"].dataType.simpleString()
     columns = ["template", "matched_words", "coverage", "begin", "end"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +217,8 @@ def scan_licenses(
             out.insert(0, "doc_id", batch["doc_id"].iloc[out.pop("at").astype(int)].to_numpy())
             yield out
 
-    return rows.mapInPandas(
+    found = carried.mapInPandas(
         scan,
         f"doc_id {kind}, template string, matched_words long, coverage double, begin long, end long",
     )
+    return longs_again(found, rows)

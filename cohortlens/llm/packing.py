@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import stored
+from cohortlens.llm.common import longs_again, longs_as_text, stored
 
 VOCABULARY = "byte_bpe_50k"
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -119,12 +119,14 @@ def pack(
     """
     spark = docs.sparkSession
     names = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    kind = names.schema["doc_id"].dataType.simpleString()
+    carried = longs_as_text(names, ["doc_id"])
+    kind = carried.schema["doc_id"].dataType.simpleString()
+    tokenized = carried.mapInPandas(
+        _tokenize(vocabulary, end_id),
+        f"doc_id {kind}, _part int, _place long, _tokens long, _wide boolean, _ids binary",
+    )
     tokens = stored(
-        names.mapInPandas(
-            _tokenize(vocabulary, end_id),
-            f"doc_id {kind}, _part int, _place long, _tokens long, _wide boolean, _ids binary",
-        ),
+        longs_again(tokenized, names),
         "tokens",
         compression="zstd",
     )
@@ -137,7 +139,8 @@ def pack(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _cut(length, shared.value)(batches)
 
-    return tokens.mapInPandas(cut, f"doc_id {kind}, {PIECES}")
+    pieces = longs_as_text(tokens, ["doc_id"]).mapInPandas(cut, f"doc_id {kind}, {PIECES}")
+    return longs_again(pieces, names)
 
 
 def padding(pieces: DataFrame, length: int = 1024) -> DataFrame:

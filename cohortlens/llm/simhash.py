@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import stored
+from cohortlens.llm.common import longs_again, longs_as_text, stored
 from cohortlens.llm.components import connected_components
 
 BITS = 64
@@ -256,8 +256,10 @@ def simhash_components(
     Rows are kept one for one, and an empty table gives an empty one.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    prints = stored(rows.mapInPandas(_fingerprints(shingle), f"doc_id {kind}, fp long"), "prints")
+    carried = longs_as_text(rows, ["doc_id"])
+    kind = carried.schema["doc_id"].dataType.simpleString()
+    found = carried.mapInPandas(_fingerprints(shingle), f"doc_id {kind}, fp long")
+    prints = stored(longs_again(found, rows), "prints")
     classes = stored(
         prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("class_size")), "classes"
     )

@@ -12,6 +12,7 @@ from cohortlens.llm.crf import LanguageModel, fit, identify_languages, marginals
 from cohortlens.llm.licenses import TEMPLATES, TemplateIndex, scan_licenses, scan_text, winnow
 from cohortlens.llm.packing import Encoder, pack, padding, sequences
 from cohortlens.llm.quality import judge_quality
+from cohortlens.llm.simhash import simhash_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -252,3 +253,47 @@ def test_sequences_and_padding(spark):
     last = max(pads)
     assert pads[0] == (64, 0) and pads[last][1] in (0, 64 - pads[last][0])
     assert pack(documents(spark, [])).count() == 0
+
+
+def test_large_ids_beside_a_null_one_stay_whole(spark):
+    big, text = 2**60 + 1, TEMPLATES["ISC"]
+    rows = [(None, text, "en", None, 1), (big, text, "en", "s", None), (big + 2, "the cat sat on it", "en", "s", big)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    ids = lambda df: {r["doc_id"] for r in df.collect()}
+    assert ids(scan_licenses(docs)) == {None, big}
+    assert ids(pack(docs)) == {None, big, big + 2}
+    groups = {(r["doc_id"], r["component_id"]) for r in simhash_components(docs).collect()}
+    assert groups == {(None, big), (big, big), (big + 2, big + 2)}
+    found = identify_languages(docs, carry=["doc_id", "n_chars"], spans=False)
+    assert {(r["doc_id"], r["n_chars"]) for r in found.collect()} == {(None, 1), (big, None), (big + 2, big)}
+    assert dict(found.dtypes)["doc_id"] == "bigint"
+
+
+def best_local(template, text):
+    """(score, matched words) of the best local alignment, over the whole table."""
+    best, above = (0, 0), [(0, 0)] * (len(text) + 1)
+    for a in template:
+        row = [(0, 0)]
+        for j, b in enumerate(text):
+            diagonal, up, left = above[j], above[j + 1], row[j]
+            same = (diagonal[0] + 1, diagonal[1] + 1) if a == b else (diagonal[0] - 1, diagonal[1])
+            cell = max(same, (up[0] - 1, up[1]), (left[0] - 1, left[1]), key=lambda c: c[0])
+            row.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, row[-1], key=lambda c: c[0])
+        above = row
+    return best
+
+
+def test_license_candidates_match_full_alignment():
+    random, index = np.random.default_rng(3), TemplateIndex(TEMPLATES)
+    words = lambda t: [w.lower() for w in re.findall(r"\w+", t)]
+    for name in list(TEMPLATES) * 2:
+        kept = [w for w in words(TEMPLATES[name]) if random.random() > 0.06]
+        text = " ".join(["intro"] * int(random.integers(0, 9)) + kept + ["end"] * 3)
+        got = {f[0]: f[1] for f in scan_text(text, index, 0.8)}
+        want = {}
+        for other, template in TEMPLATES.items():
+            matched = best_local(words(template), words(text))[1]
+            if matched >= 0.8 * len(words(template)):
+                want[other] = matched
+        assert got == want
