@@ -33,6 +33,9 @@ URL_PATTERNS = (
     UrlRule("binary file", "block", r"\.(?:exe|zip|gz|jpe?g|png|mp4)$", (), 0),
 )
 
+# Hashes of word runs that a line meets others on; by bits alone most similar lines never meet.
+LINE_RUN_KEYS = 12
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,7 +68,7 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+    return dedup_lines(docs, run_keys=LINE_RUN_KEYS).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
