@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Set
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import longs_again, longs_as_text
 
 WORD = re.compile(r"\w+")
+# Templates under this many words are notices and headers, which differ in a word or a number.
+MARKED_WORDS = 64
 
 # Public license notices, as their stewards ask for them to be stated.
 TEMPLATES = {
@@ -98,6 +100,9 @@ class TemplateIndex:
             window = self.window if len(hashes) >= 4 * self.window else 1
             for at in winnow(hashes, window):
                 self.places[tuple(codes[at : at + run])].append((number, at))
+        self.spelled = list(self.words)
+        self.lengths = {name: len(codes) for name, codes in zip(self.names, self.coded)}
+        self.uses = [np.bincount(codes, minlength=len(self.words)) for codes in self.coded]
 
     def hits(self, codes: np.ndarray) -> dict[int, list[int]]:
         """Diagonals (place in the text minus place in the template) of each template's hits."""
@@ -150,16 +155,36 @@ def align(template: list[int], text: np.ndarray, low: int, high: int) -> tuple[i
     return best[1], best[2], best_end
 
 
-def scan_text(text: str | None, index: TemplateIndex, min_coverage: float) -> list[tuple]:
+def marks_of(words: Iterable[str], marks: Set[str]) -> set[str]:
+    """Those of ``words`` that tell similar licenses apart: ``marks`` and numbers."""
+    return {w for w in words if w in marks or w.isdigit()}
+
+
+def best_of_overlapping(found: list[tuple], lengths: Mapping[str, int]) -> list[tuple]:
+    """``found`` without those that overlap a better one: matched words less words of the template that are missing."""
+    kept: list[tuple] = []
+    for match in sorted(found, key=lambda m: (lengths[m[0]] - 2 * m[1], m[3], m[0])):
+        if all(match[4] <= k[3] or match[3] >= k[4] for k in kept):
+            kept.append(match)
+    return sorted(kept, key=lambda m: (m[0], m[3]))
+
+
+def scan_text(
+    text: str | None, index: TemplateIndex, min_coverage: float, marks: Set[str] | None = None
+) -> list[tuple]:
     """(template, matched_words, coverage, begin, end) of each match; begin and end count characters."""
     if not text:
         return []
     spans = list(WORD.finditer(text))
     get = index.words.get
     codes = np.fromiter((get(m.group().lower(), -1) for m in spans), np.int64, len(spans))
+    uses = np.bincount(codes[codes >= 0], minlength=len(index.words))
     out = []
     for number, diagonals in sorted(index.hits(codes).items()):
         template = index.coded[number]
+        # No alignment matches more words than text and template have in common.
+        if np.minimum(uses, index.uses[number]).sum() < min_coverage * len(template):
+            continue
         band = max(2, len(template) // 5)
         diagonals = sorted(set(diagonals))
         groups = [[diagonals[0]]]
@@ -169,6 +194,10 @@ def scan_text(text: str | None, index: TemplateIndex, min_coverage: float) -> li
         for group in groups:
             matched, begin, end = align(template, codes, group[0] - band, group[-1] + band)
             if matched >= min_coverage * len(template):
+                if marks is not None and len(template) < MARKED_WORDS:
+                    span = (m.group().lower() for m in spans[begin:end])
+                    if marks_of(span, marks) != marks_of((index.spelled[c] for c in template), marks):
+                        continue
                 found.append((matched, begin, end))
         # Of overlapping alignments of one template the one with most matches stays.
         kept: list[tuple[int, int, int]] = []
@@ -179,7 +208,7 @@ def scan_text(text: str | None, index: TemplateIndex, min_coverage: float) -> li
             out.append(
                 (index.names[number], matched, matched / len(template), spans[begin].start(), spans[end - 1].end())
             )
-    return out
+    return out if marks is None else best_of_overlapping(out, index.lengths)
 
 
 def scan_licenses(
@@ -191,13 +220,16 @@ def scan_licenses(
     run: int = 3,
     window: int = 4,
     min_coverage: float = 0.8,
+    marks: Set[str] | None = None,
 ) -> DataFrame:
     """(doc_id, template, matched_words, coverage, begin, end) of every match.
 
     ``coverage`` is the share of the template's words that match in order, and
     ``begin`` and ``end`` are the span's characters in the whole text. A document may
     match several templates, and one template several times where the spans do not
-    overlap; rows that repeat a document repeat its matches. Null and empty texts,
+    overlap. With ``marks``, words that tell similar licenses apart, a span must hold
+    the same ones and the same numbers as its template (if that is short), and only the
+    best of overlapping spans stays, whatever their templates. Rows that repeat a document repeat its matches. Null and empty texts,
     and documents without a match, give no rows.
     """
     index = TemplateIndex(templates, run, window)
@@ -211,7 +243,7 @@ def scan_licenses(
             found = [
                 (at, *match)
                 for at, text in enumerate(batch["text"])
-                for match in scan_text(text, index, min_coverage)
+                for match in scan_text(text, index, min_coverage, marks)
             ]
             out = pd.DataFrame(found, columns=["at", *columns])
             out.insert(0, "doc_id", batch["doc_id"].iloc[out.pop("at").astype(int)].to_numpy())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import new_path
 from cohortlens.llm.crf import identify_languages
+from cohortlens.llm.license_families import MARKS, license_families
 from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.lines import dedup_lines
 from cohortlens.llm.mixing import mix
@@ -58,7 +59,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_table(spark, sf_dir, "documents"))
+    return scan_licenses(_table(spark, sf_dir, "documents"), license_families(), marks=MARKS)
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
