@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.alignment import align_tokens
 from cohortlens.llm.common import new_path
 from cohortlens.llm.crf import identify_languages
 from cohortlens.llm.license_families import MARKS, license_families
@@ -14,9 +15,11 @@ from cohortlens.llm.mixing import mix
 from cohortlens.llm.packing import pack
 from cohortlens.llm.quality import judge_quality
 from cohortlens.llm.simhash import simhash_components
+from cohortlens.llm.token_files import read_tokens, write_tokens
 from cohortlens.llm.topk import top_k
 from cohortlens.llm.url_filter import UrlRule, host_path_rule, judge_urls
 from cohortlens.llm.warc import read_warc, write_warc
+from cohortlens.llm.whitening import whiten
 
 HOST_RULES = (
     host_path_rule("com/", "allow"),
@@ -129,6 +132,20 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_tokens(_table(spark, sf_dir, "documents"), path)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op2_license_scan": license_scan,
@@ -140,4 +157,7 @@ QUERIES = {
     "op8_mixing": mixing,
     "op9_simhash_neardup": simhash,
     "op10_warc": warc,
+    "op11_token_files": token_output,
+    "op12_whitening": whitening,
+    "op13_token_alignment": alignment,
 }
