@@ -8,9 +8,9 @@ after that works on distinct values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _END_OF_TIME = "9999-12-31 23:59:59.999999"
@@ -81,24 +81,58 @@ def slice_offsets(
     )
 
 
-def with_dense_rank(df: DataFrame, by: Sequence[str], order: str, name: str) -> DataFrame:
+def _stand_in(kind: str) -> Column:
+    """Some value of the type, to stand where a key is null."""
+    if kind == "string":
+        return F.lit("")
+    if kind == "date" or kind.startswith("timestamp"):
+        return F.lit("1970-01-01").cast(kind)
+    return F.lit(0).cast(kind)
+
+
+def with_dense_rank(
+    df: DataFrame,
+    by: Sequence[str],
+    order: str,
+    name: str,
+    slice_of: Callable[[Column], Column] = lambda time: F.trunc(F.to_date(time), "month"),
+) -> DataFrame:
     """Adds the dense rank of each row's time in its group; a missing time ranks last.
 
-    The distinct times of a group are ranked day by day and offset by the days
-    before, so no task sorts a whole group, however large it is or whether its key
-    is null. Distinct times combine on the map side.
+    A distributed scan: rows are dealt by group and slice of time (a month), ranked
+    inside it, and moved up by what the group's earlier slices hold. So no task sorts
+    a whole group, however large it is or whether its key is null. The totals are
+    taken where the rows already lie, and the offsets, one narrow row for each slice
+    but a group's first, come to them: the rows are shuffled once and never joined
+    back to themselves. ``slice_of`` may cut finer; it must never fall as time rises.
+
+    A slice depends on the row alone, not on sampled bounds, so that the totals and
+    the rows agree even if a lost executor makes Spark compute either again. Rows of
+    one group and slice meet in one task; rows without a time are dealt by their
+    content, since they all rank alike.
     """
-    moment = F.coalesce(F.col(order), F.lit(_END_OF_TIME).cast("timestamp_ntz"))
-    times = (
-        df.select(*by, moment.alias("_moment"))
-        .distinct()
-        .select("*", F.to_date("_moment").alias("_day"), F.lit(1).alias("_n"))
-    )
-    within = Window.partitionBy(*by, "_day").orderBy("_moment")
-    offsets = slice_offsets(times, "_n", "_day", by)
-    ranks = join_groups(times, offsets, [*by, "_day"]).select(
-        *by, "_moment", (F.row_number().over(within) + F.col("before")).alias(name)
-    )
-    return join_groups(df.withColumn("_moment", moment), ranks, [*by, "_moment"]).select(
-        *df.columns, name
+    kinds = dict(df.dtypes)
+    if any(kinds[key].split("<")[0] in ("array", "struct", "binary", "boolean") for key in by):
+        keys = {f"_key{i}": F.coalesce(F.col(key).cast("string"), F.lit("")) for i, key in enumerate(by)}
+    else:
+        keys = {f"_key{i}": F.coalesce(key, _stand_in(kinds[key])) for i, key in enumerate(by)}
+    keys |= {f"_missing{i}": F.col(key).isNull() for i, key in enumerate(by)}
+    undated = F.col(order).isNull()
+    dealt = df.withColumns(
+        {
+            **keys,
+            "_slice": F.coalesce(slice_of(F.col(order)), slice_of(F.lit(_END_OF_TIME).cast("timestamp_ntz"))),
+            "_salt": F.when(undated, F.pmod(F.xxhash64(*df.columns), F.lit(64)) + 1).otherwise(F.lit(0)),
+        }
     )
+    part = [*keys, "_slice", "_salt"]
+    ranked = dealt.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*part).orderBy(order)))
+    # Always true. It reads every column, so that totals and rows share one shuffle
+    # instead of computing the input twice.
+    same = F.xxhash64(*dealt.columns).bitwiseOR(F.lit(1)) != 0
+    distinct = F.max(F.when(F.col("_salt") == 0, F.col("_rank")).otherwise(0))
+    totals = ranked.filter(same).groupBy(*part).agg(distinct.alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slice", "_salt")
+    offsets = totals.select(*part, (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    placed = ranked.join(offsets.filter("_before > 0"), part, "left")
+    return placed.select(*df.columns, (F.col("_rank") + F.coalesce("_before", F.lit(0))).alias(name))

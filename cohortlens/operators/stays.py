@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import age_years, los_days, map_by_list
 from cohortlens.operators.counts import with_dense_rank
-from cohortlens.operators.relations import keep_by
 
 
 def _charted(admissions: DataFrame) -> DataFrame:
@@ -43,19 +42,14 @@ def stay_detail(
 ) -> DataFrame:
     """One row per stay: demographics, lengths of stay, sequence numbers, first-stay flags.
 
-    Stays are numbered within their admission and admissions within their
-    patient. Each number is worked out on the narrow table it depends on, among
-    rows that reach the result: stays of known patients, and charted admissions
-    with such a stay.
+    Stays are numbered within their admission, and admissions within their patient
+    by the distinct times of those that reach the result: charted ones with a stay of
+    a known patient. Both numbers are worked out on the joined rows, so that stays,
+    admissions and patients are each read once.
     """
-    known = stays.join(patients.select("subject_id", "gender", "dob", "dod"), "subject_id")
-    numbered_stays = with_dense_rank(known, ["hadm_id"], "intime", "icustay_seq")
-    charted = _charted(admissions)
-    visited = keep_by(charted, known, "hadm_id")
-    numbered_admissions = with_dense_rank(
-        visited, ["adm_subject_id"], "admittime", "hospstay_seq"
-    )
-    ranked = numbered_stays.join(numbered_admissions, "hadm_id")
+    joined = stays_with_admission(stays, admissions, patients)
+    numbered = with_dense_rank(joined, ["hadm_id"], "intime", "icustay_seq")
+    ranked = with_dense_rank(numbered, ["adm_subject_id"], "admittime", "hospstay_seq")
     return ranked.select(
         "subject_id",
         "hadm_id",

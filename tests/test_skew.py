@@ -66,6 +66,24 @@ def test_ranked_rows_of_a_hot_key_are_spread(spark, hot, key):
     assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
 
 
+def test_undated_rows_of_a_hot_key_rank_last_and_are_spread(spark, hot):
+    rows = [(k > 0, None if k == 0 else T0 + timedelta(hours=s % 50), i) for i, (k, s) in enumerate(hot)]
+    rows += [(False, T0, -1), (False, T0, -2), (False, T0 + timedelta(days=99), -3)]
+    df = spark.createDataFrame(rows, "k boolean, t timestamp_ntz, id long")
+    ranked = with_dense_rank(df, ["k"], "t", "r")
+    undated = ranked.filter("t is null")
+    assert undated.select("r").distinct().collect() == [(3,)]
+    sizes = [r["n"] for r in undated.groupBy(F.spark_partition_id()).agg(F.count("r").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
+    assert {(r["t"], r["r"]) for r in ranked.filter("k").collect()} == {(T0 + timedelta(hours=i), i + 1) for i in range(50)}
+
+
+def test_ranking_reads_its_input_once(spark, hot):
+    df = spark.createDataFrame([(k, T0, i) for i, (k, _) in enumerate(hot)], "k long, t timestamp_ntz, id long")
+    plan = with_dense_rank(df.repartition(3), ["k"], "t", "r")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("ReusedExchange") == 1
+
+
 def test_box_and_histogram_of_a_hot_key(spark, hot):
     rows = [(k % 3, float(s)) for k, s in hot]
     df = spark.createDataFrame(rows, "k long, v double")
