@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.sources.sampling import coherent_sample, with_parents
 from cohortlens.sources.schemas import SCHEMAS
 
 # Tables with a column of free text, which may hold line breaks.
@@ -24,14 +25,17 @@ def load_tables(
     bad_values: str = "null",
     schema: str | None = None,
     table_options: Mapping[str, Mapping[str, str]] | None = None,
+    sample_by: str = "row",
 ) -> dict[str, DataFrame]:
     """Clinical tables by name, read lazily with their declared schemas.
 
     ``root`` is the folder (or, for ``fmt="jdbc"``, the connection URL) and
     ``tables`` the subset wanted. CSV files carry upper- or lower-case file
     names and headers: pass ``options={"extension": ".csv.gz", "upper": "true"}``
-    to point at ``ADMISSIONS.csv.gz``. ``sample`` keeps that fraction of the
-    rows of every table, for development.
+    to point at ``ADMISSIONS.csv.gz``. ``sample`` keeps, for development, that
+    fraction of the rows of every table or, with ``sample_by="patient"``, of the
+    patients and all that hangs on them (:func:`coherent_sample`); the tables above
+    the wanted ones are then read too.
 
     CSV notes may run over several lines, so files of :data:`FREE_TEXT` tables are
     read with ``multiLine`` unless ``options`` says otherwise. Spark cannot split
@@ -42,6 +46,16 @@ def load_tables(
     """
     if bad_values not in ("null", "fail"):
         raise ValueError("bad_values must be 'null' or 'fail'")
+    if sample_by not in ("row", "patient"):
+        raise ValueError("sample_by must be 'row' or 'patient'")
+    if sample is not None and sample_by == "patient":
+        wanted = list(SCHEMAS if tables is None else tables)
+        needed = dict.fromkeys(parent for name in wanted for parent in with_parents(name))
+        whole = load_tables(
+            spark, root, fmt, needed, options, None, seed, bad_values, schema, table_options
+        )
+        cut = coherent_sample(whole, sample, seed)
+        return {name: cut[name] for name in wanted}
     options = dict(options or {})
     extension = options.pop("extension", f".{fmt}")
     upper = options.pop("upper", "false").lower() == "true"
