@@ -29,10 +29,37 @@ from cohortlens.operators.relations import (
     not_in,
     sample_rows,
 )
-from cohortlens.operators.status import classify_status, status_per_admission, status_timeline
+from cohortlens.operators.sketches import (
+    distinct_error,
+    distinct_estimates,
+    distinct_sketch,
+    merge_distinct_sketches,
+    merge_quantile_sketches,
+    new_values,
+    quantile_ranks,
+    quantile_sketch,
+    rank_error,
+    sketch_quantiles,
+)
+from cohortlens.operators.states import (
+    merge_counts,
+    merge_version_states,
+    save_batch,
+    saved_batches,
+    version_state,
+    version_stats_of,
+)
+from cohortlens.operators.status import (
+    classify_status,
+    merge_timeline_states,
+    status_per_admission,
+    status_timeline,
+    timeline_of,
+    timeline_state,
+)
 from cohortlens.operators.stays import stay_detail, stays_with_admission
 from cohortlens.operators.survival import kaplan_meier
-from cohortlens.operators.titles import titles_per_group
+from cohortlens.operators.titles import titles_in_chunks, titles_per_group
 from cohortlens.operators.versions import (
     size_summary,
     version_by_category,
@@ -54,6 +81,9 @@ __all__ = [
     "demographics_of",
     "density_2d",
     "describe_numeric",
+    "distinct_error",
+    "distinct_estimates",
+    "distinct_sketch",
     "exclude_by",
     "histogram_auto",
     "histogram_fixed",
@@ -62,25 +92,42 @@ __all__ = [
     "label_prevalence",
     "latest_per_key",
     "lookup_with_default",
+    "merge_counts",
+    "merge_distinct_sketches",
+    "merge_quantile_sketches",
+    "merge_timeline_states",
+    "merge_version_states",
     "mortality_labels",
     "negative_deltas",
+    "new_values",
     "not_in",
     "order_deltas",
     "order_flags",
+    "quantile_ranks",
+    "quantile_sketch",
     "quantiles",
+    "rank_error",
     "sample_rows",
+    "save_batch",
+    "saved_batches",
     "size_summary",
+    "sketch_quantiles",
     "status_per_admission",
     "status_timeline",
     "stay_detail",
     "stays_with_admission",
     "summarise_vitals",
+    "timeline_of",
+    "timeline_state",
+    "titles_in_chunks",
     "titles_per_group",
     "value_counts",
     "version_by_category",
     "version_distribution",
     "version_sizes",
+    "version_state",
     "version_stats",
+    "version_stats_of",
     "version_summary",
     "vital_measurements",
     "vital_values",

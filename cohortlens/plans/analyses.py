@@ -19,7 +19,7 @@ from cohortlens.functions import (
 )
 from cohortlens.operators import cohort as cohorts
 from cohortlens.operators import distributions as dist
-from cohortlens.operators import labs, ordering, status, stays, versions, vitals
+from cohortlens.operators import labs, ordering, sketches, states, status, stays, versions, vitals
 from cohortlens.operators.relations import (
     exclude_by,
     keep_by,
@@ -28,13 +28,17 @@ from cohortlens.operators.relations import (
     sample_rows,
 )
 from cohortlens.operators.survival import kaplan_meier
-from cohortlens.operators.counts import value_counts
-from cohortlens.operators.titles import titles_per_group
+from cohortlens.operators.counts import join_groups, value_counts
+from cohortlens.operators.titles import titles_in_chunks, titles_per_group
+from cohortlens.sources.sampling import coherent_sample, orphans
 from cohortlens.sources.tables import item_values, preview, save_table
 
 Tables = Mapping[str, DataFrame]
 NOTE_KEYS = ("subject_id", "hadm_id", "charttime", "category", "description")
 NOTE_COARSE_KEYS = ("subject_id", "hadm_id", "charttime")
+# A development sample: the share of patients, and the seed.
+SAMPLE = (0.1, 1)
+TITLES_PER_CHUNK = 3
 
 
 def stay_preview(t: Tables) -> DataFrame:
@@ -84,6 +88,19 @@ def measurements_by_age_density(t: Tables) -> DataFrame:
     return cells.withColumnsRenamed({"x_bin": "age_bin", "y_bin": "hr_bin"})
 
 
+def vitals_quantile_sketch(t: Tables) -> DataFrame:
+    """Whether quartiles from merged daily sketches stand where they may, by their exact ranks."""
+    value, day = F.col("valuenum"), F.to_date("charttime").alias("day")
+    rates = t["chartevents"].filter(F.col("itemid").isin(*fixed.HEART_RATE_ITEMS) & value.isNotNull())
+    daily = sketches.quantile_sketch(rates.select("itemid", day, "valuenum"), "valuenum", ["itemid", "day"])
+    merged = sketches.merge_quantile_sketches(daily, by=["itemid"])
+    estimates = sketches.sketch_quantiles(merged, by=["itemid"])
+    ranks = sketches.quantile_ranks(rates, "valuenum", estimates, by=["itemid"])
+    error = sketches.rank_error()
+    stands = (F.col("prob") >= F.col("rank_lo") - error) & (F.col("prob") <= F.col("rank_hi") + error)
+    return ranks.select("itemid", "prob", "n_values", stands.alias("within_error"))
+
+
 def era_histograms(t: Tables) -> DataFrame:
     lo, hi = fixed.ERA_RANGE
     value = F.col("valuenum")
@@ -137,6 +154,12 @@ def stay_order_audit(t: Tables) -> DataFrame:
     )
 
 
+def _batches(df: DataFrame, key: str, n: int = 3) -> list[DataFrame]:
+    """The rows in ``n`` batches, as if they had come one after another."""
+    place = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(n))
+    return [df.filter(place == i) for i in range(n)]
+
+
 def stay_order_deltas(t: Tables) -> DataFrame:
     return ordering.order_deltas(t["icustays"], t["admissions"])
 
@@ -157,6 +180,20 @@ def stay_delta_histogram(t: Tables) -> DataFrame:
     )
 
 
+def _delta_counts_from_batches(t: Tables) -> DataFrame:
+    broken = ordering.negative_deltas(stay_order_deltas(t))
+    counted = [value_counts(batch, "minutes", ["metric"]) for batch in _batches(broken, "minutes")]
+    return states.merge_counts(*counted, by=["metric"])
+
+
+def stay_delta_describe_from_batches(t: Tables) -> DataFrame:
+    return dist.describe_counts(_delta_counts_from_batches(t), ["metric"])
+
+
+def stay_delta_histogram_from_batches(t: Tables) -> DataFrame:
+    return dist.histogram_auto_counts(_delta_counts_from_batches(t), fixed.DELTA_BINS, ["metric"])
+
+
 # --- laboratory results ----------------------------------------------------
 
 
@@ -185,12 +222,50 @@ def labs_by_half_hour_missing_abnormal(t: Tables) -> DataFrame:
 # --- notes -----------------------------------------------------------------
 
 
-def _note_stats(t: Tables) -> DataFrame:
+def _valid_notes(t: Tables) -> DataFrame:
     error = F.col("iserror")
-    kept = t["noteevents"].filter(
+    return t["noteevents"].filter(
         (error.isNull() | (error != "1")) & F.col("charttime").isNotNull()
     )
-    return versions.version_stats(kept, NOTE_KEYS, "text", "storetime")
+
+
+def _note_stats(t: Tables) -> DataFrame:
+    return versions.version_stats(_valid_notes(t), NOTE_KEYS, "text", "storetime")
+
+
+def note_versions_from_batches(t: Tables) -> DataFrame:
+    kept = [
+        states.version_state(batch, NOTE_KEYS, "text", "storetime")
+        for batch in _batches(_valid_notes(t), "storetime")
+    ]
+    return states.version_stats_of(states.merge_version_states(*kept, keys=NOTE_KEYS), NOTE_KEYS)
+
+
+def note_text_sketches(t: Tables) -> DataFrame:
+    """Exact counts of texts and of texts new on the second day, and whether the sketches agree."""
+    notes = t["noteevents"].select("category", "text", (F.hour("storetime") < 12).alias("early"))
+    exact = notes.groupBy("category").agg(
+        F.count_distinct("text").alias("n_texts"),
+        F.count_distinct(F.when(F.col("early"), F.col("text"))).alias("n_early"),
+    )
+    parts = {part: notes.filter("early" if part else "NOT early") for part in (True, False)}
+    hll = [sketches.distinct_sketch(part, "text", ["category"]) for part in parts.values()]
+    theta = {e: sketches.distinct_sketch(part, "text", ["category"], "theta") for e, part in parts.items()}
+    counted = sketches.distinct_estimates(
+        sketches.merge_distinct_sketches(*hll, by=["category"]), ["category"]
+    ).select("category", F.col("n_distinct").alias("_hll"))
+    new = sketches.new_values(theta[False], theta[True], ["category"]).select(
+        "category", F.col("n_new").alias("_new")
+    )
+    error = F.col("n_texts") * sketches.distinct_error()
+    met = join_groups(join_groups(exact, counted, ["category"]), new, ["category"])
+    return met.select(
+        "category",
+        "n_texts",
+        (F.col("n_texts") - F.col("n_early")).alias("n_new"),
+        (F.abs(F.col("_hll") - F.col("n_texts")) <= error).alias("count_within_error"),
+        (F.abs(F.col("_new") - F.col("n_texts") + F.col("n_early")) <= error).alias("new_within_error"),
+    )
 
 
 def note_versions(t: Tables) -> DataFrame:
@@ -246,15 +321,30 @@ def _timeline(t: Tables) -> DataFrame:
     )
 
 
-def code_status(t: Tables) -> DataFrame:
+def _status_columns(timeline: DataFrame) -> DataFrame:
     # Comfort care has a name of its own for its first time, and full code none.
-    return (
-        _timeline(t)
-        .drop("intime", "fullcode_first_charttime")
-        .withColumnRenamed("cmo_first_charttime", "timecmo_chart")
+    return timeline.drop("intime", "fullcode_first_charttime").withColumnRenamed(
+        "cmo_first_charttime", "timecmo_chart"
     )
 
 
+def code_status(t: Tables) -> DataFrame:
+    return _status_columns(_timeline(t))
+
+
+def code_status_from_batches(t: Tables) -> DataFrame:
+    """Events in batches that overlap in time, each reduced alone."""
+    flags = list(fixed.CODE_STATUS_TEXTS)
+    kept = [
+        status.timeline_state(
+            batch, fixed.CODE_STATUS_ITEMS, fixed.CODE_STATUS_TEXTS, fixed.CODE_STATUS_IGNORED_TEXTS
+        )
+        for batch in _batches(t["chartevents"], "charttime")
+    ]
+    merged = status.merge_timeline_states(*kept, flags=flags)
+    return _status_columns(status.timeline_of(t["icustays"], merged, flags))
+
+
 def code_status_saved(t: Tables) -> DataFrame:
     return save_table(code_status(t), "code_status")
 
@@ -276,6 +366,17 @@ def icu_stay_detail(t: Tables) -> DataFrame:
     )
 
 
+def development_sample(t: Tables) -> DataFrame:
+    """Rows of each table in a sample of the patients, and rows among them without a parent."""
+    return orphans(coherent_sample(t, *SAMPLE))
+
+
+def sampled_stay_detail(t: Tables) -> DataFrame:
+    """Stay detail over the sample alone: the same rows as in the whole tables."""
+    needed = {name: t[name] for name in ("patients", "admissions", "icustays")}
+    return icu_stay_detail(coherent_sample(needed, *SAMPLE))
+
+
 def _with_race(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "race", map_by_contains(F.col("ethnicity"), fixed.RACE_BY_TEXT, "Other")
@@ -352,6 +453,12 @@ def diagnosis_vs_all_codes(t: Tables) -> DataFrame:
     return _diagnosis_titles(t, ",", False)
 
 
+def diagnosis_title_chunks(t: Tables) -> DataFrame:
+    return titles_in_chunks(
+        t["diagnoses_icd"], t["d_icd_diagnoses"], "hadm_id", ",", False, TITLES_PER_CHUNK
+    )
+
+
 def diagnosis_sample(t: Tables) -> DataFrame:
     return sample_rows(diagnosis_vs_codes(t), "hadm_id", 5, seed=1)
 
@@ -401,5 +508,14 @@ ANALYSES: dict[str, Callable[[Tables], DataFrame]] = {
         stay_delta_histogram,
         era_histograms,
         item_value_counts,
+        development_sample,
+        sampled_stay_detail,
+        vitals_quantile_sketch,
+        note_text_sketches,
+        note_versions_from_batches,
+        stay_delta_describe_from_batches,
+        stay_delta_histogram_from_batches,
+        code_status_from_batches,
+        diagnosis_title_chunks,
     )
 }
