@@ -188,19 +188,23 @@ def _parse(rows: DataFrame) -> DataFrame:
     """``rows`` with header, block_bytes, http and payload of the record in ``text``.
 
     ``block_bytes`` is null where no header ends, or it states no length. The payload
-    is what the record's block holds after its HTTP header.
+    is what the record's block holds after its HTTP header, as bytes: a candidate need
+    not be a record, so the length it states may end anywhere, within a character too.
     """
     end = F.locate("\r\n\r\n", F.col("text"))
     rows = rows.withColumn(
         "header", F.when(end > 0, F.substring_index("text", "\r\n\r\n", 1))
     ).withColumn("block_bytes", _length(F.col("header")))
     rows = rows.withColumn(
-        "body", F.expr("substring(text, locate('\\r\\n\\r\\n', text) + 4)")
+        "body", F.expr("substring(cast(text AS binary), octet_length(header) + 5)")
+    )
+    rows = rows.withColumn("http", F.substring_index(F.col("body").cast("string"), "\r\n\r\n", 1))
+    # no text of Spark's is longer than an int can say
+    longest = F.lit((1 << 31) - 1)
+    stated = F.least(F.greatest(F.col("block_bytes") - F.octet_length("http") - 4, F.lit(0)), longest)
+    payload = F.substring(
+        F.expr("substring(body, octet_length(http) + 5)"), F.lit(1), stated.cast("int")
     )
-    rows = rows.withColumn("http", F.substring_index("body", "\r\n\r\n", 1))
-    stated = F.col("block_bytes") - F.octet_length("http") - 4
-    rest = F.encode(F.expr("substring(body, char_length(http) + 5)"), "UTF-8")
-    payload = F.decode(F.substring(rest, F.lit(1), F.greatest(stated, F.lit(0)).cast("int")), "UTF-8")
     return rows.withColumn("payload", payload).drop("body")
 
 
@@ -238,8 +242,11 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
     target_uri, payload_digest (bare hexadecimal), payload_bytes (of the full
     payload, from the HTTP header, so revisits have it too), valid (a response's
     payload has the length and digest stated; null for a revisit), and payload (null
-    for a revisit), which ``payloads=False`` leaves out. Text after the end of a chain
-    is not returned. Archives without records give no rows.
+    for a revisit), which ``payloads=False`` leaves out. Bytes of a payload that are not
+    UTF-8 read as U+FFFD, while length and digest are those of the bytes. Text after the
+    end of a chain is not returned: a truncated or damaged file ends with the record
+    before the damage, or the one it cuts, which is then not valid. Archives without
+    records give no rows.
 
     The first pass keeps headers, sizes and payload digests only. Texts are read a
     second time where payloads are wanted, else only in files that have a record
@@ -259,7 +266,7 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
                 "block_bytes",
                 F.coalesce(exact, F.lit(False)).alias("exact"),
                 F.octet_length("payload").alias("found_bytes"),
-                F.sha2(F.encode("payload", "UTF-8"), 256).alias("found_digest"),
+                F.sha2("payload", 256).alias("found_digest"),
             )
         ),
         "pieces",
@@ -281,7 +288,7 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
             "http",
             "payload",
             F.octet_length("payload").alias("found_bytes"),
-            F.sha2(F.encode("payload", "UTF-8"), 256).alias("found_digest"),
+            F.sha2("payload", 256).alias("found_digest"),
         )
         if not payloads:
             columns = ["file", "offset", "header", "http", "found_bytes", "found_digest"]
@@ -309,19 +316,27 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
         F.col("found_digest") == F.col("payload_digest")
     )
     found = found.withColumn("valid", F.when(~revisit, agrees)).drop("found_bytes", "found_digest")
-    return found.withColumn("payload", F.when(~revisit, F.col("payload"))) if payloads else found
+    if not payloads:
+        return found
+    text = F.make_valid_utf8(F.col("payload").cast("string"))
+    return found.withColumn("payload", F.when(~revisit, text))
 
 
 def _stitched(cuts: DataFrame, records: DataFrame) -> DataFrame:
-    """(file, offset, text) of each record: its own cut and those up to the next record."""
+    """(file, offset, text) of each record: its own cut and those up to the next record.
+
+    Cuts find their record in the order of their file without their texts.
+    """
     upto = W.partitionBy("file").orderBy("offset")
     owned = (
-        cuts.join(records.withColumn("start", F.col("offset")), ["file", "offset"], "left")
+        cuts.select("file", "offset")
+        .join(records.withColumn("start", F.col("offset")), ["file", "offset"], "left")
         .withColumn("record", F.last("start", ignorenulls=True).over(upto))
         .filter("record IS NOT NULL")
+        .select("file", "offset", "record")
     )
     tails = (
-        owned.filter("start IS NULL")
+        cuts.join(owned.filter("offset <> record"), ["file", "offset"])
         .groupBy("file", F.col("record").alias("offset"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col("offset").alias("o"), "text"))).alias("cuts"))
         .select(
@@ -329,8 +344,8 @@ def _stitched(cuts: DataFrame, records: DataFrame) -> DataFrame:
         )
     )
     return (
-        owned.filter("start IS NOT NULL")
-        .select("file", "offset", "text")
+        cuts.select("file", "offset", "text")
+        .join(records, ["file", "offset"], "left_semi")
         .join(tails, ["file", "offset"], "left")
         .select("file", "offset", F.concat("text", F.coalesce("tail", F.lit(""))).alias("text"))
     )

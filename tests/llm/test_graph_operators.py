@@ -320,6 +320,57 @@ def test_warc_round_trip_rejects_magic_in_payloads(spark, setting):
                 assert r["payload"] == (None if revisit else text.decode())
 
 
+def lookalike(length, body="abc"):
+    return f"{MAGIC}WARC-Type: response\r\nX-Page-Id: 999\r\nContent-Length: {length}\r\n\r\n{body}\r\n\r\n"
+
+
+def test_lookalikes_may_state_any_length(spark):
+    """Lengths that end inside a character, beyond the text, or beyond any number Spark holds."""
+    bodies = ["é", "aé", "日本", "HTTP/1.1 200 OK\r\n\r\né日é", "x" * 50]
+    html = {}
+    for body in bodies:
+        for length in [*range(0, 30), 1000, 2**31 - 1, 2**31, 99_999_999_999, 10**18 - 1, "x", "", -4]:
+            html[len(html)] = f"é{lookalike(length, body)}日"
+    pages = spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in html.items()], "page_id long, url string, html string")
+    path = new_path(spark, "warc-test")
+    write_warc(pages.repartition(3), path, records_per_file=40)
+    for payloads in (True, False):
+        got = {r["page_id"]: r for r in read_warc(spark, path, payloads=payloads).collect()}
+        assert got.keys() == html.keys()
+        for i, r in got.items():
+            assert r["valid"] is True and r["payload_digest"] == hashlib.sha256(html[i].encode()).hexdigest()
+            assert not payloads or r["payload"] == html[i]
+
+
+def test_damaged_archives(spark, tmp_path):
+    """Truncated files end with the record they cut; bytes that are no UTF-8 read as U+FFFD."""
+    html = {i: f"page {i} é日 " * 20 for i in range(6)}
+    pages = spark.createDataFrame([(i, "u", t) for i, t in html.items()], "page_id long, url string, html string")
+    write_warc(pages.orderBy("page_id").coalesce(1), f"file://{tmp_path}/whole")
+    (name,) = [f for f in os.listdir(f"{tmp_path}/whole") if f.startswith("part-")]
+    data = open(f"{tmp_path}/whole/{name}", "rb").read()
+
+    def read(kind, content):
+        os.makedirs(f"{tmp_path}/{kind}")
+        with open(f"{tmp_path}/{kind}/a.warc", "wb") as out:
+            out.write(content)
+        rows = read_warc(spark, f"file://{tmp_path}/{kind}").orderBy("page_id").collect()
+        assert len(rows) == read_warc(spark, f"file://{tmp_path}/{kind}", payloads=False).count()
+        return [(r["page_id"], r["valid"], r["payload"]) for r in rows]
+
+    assert read("same", data) == [(i, True, html[i]) for i in html]
+    third = data.index(b"X-Page-Id: 3")
+    inside = data.index("日".encode(), third) + 1  # within a character
+    cut = read("cut", data[:inside])
+    assert [r[:2] for r in cut] == [(0, True), (1, True), (2, True), (3, False)]
+    bad = data.replace("page 1 é".encode(), b"page 1 \xff\xfe", 1)
+    found = read("bad", bad)
+    assert [r[:2] for r in found] == [(i, i != 1) for i in html] and found[1][2].startswith("page 1 \ufffd")
+    broken = data.replace(b"Content-Length", b"Content-Strength", 4)  # both headers of two records
+    assert [r[0] for r in read("broken", broken)] in ([], [0])
+    assert read("none", b"") == [] and read("noise", b"no archive \xff at all" * 50) == []
+
+
 def test_warc_of_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     path = new_path(spark, "warc-test")
