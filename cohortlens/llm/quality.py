@@ -17,16 +17,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import stored, words_of
+from cohortlens.llm.common import WORD_SPLIT, stored
 
 SYMBOLS = "#*$%&|<>"
-# One letter for each common word in a document's code string; "0" stands for words as short that are none.
+# One letter for each common word in a document's code string; "0" stands for words as short that are
+# none, and BARE for those of them without a letter.
+BARE = "!"
 CODES = "0ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # One reference row for each language is broadcast up to this many; beyond, they are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
 
+LETTER = r"\p{L}"
+
 # Characters by class: the counts of a document, and of all documents of a language.
-CLASSES = ("_upper", "_digit", "_white", "n_symbols", "_point", "_other")
+# Each class but the last takes what the classes before it in this order leave.
+CLASSES = (
+    "_lower",
+    "_white",
+    "n_symbols",
+    "_upper",
+    "_digit",
+    "_point",
+    "_latin",
+    "_letter",
+    "_mark",
+    "_other",
+)
+# The classes that are counted by pattern in what is left of a text without lower-case letters and white
+# space, and those of characters beyond ASCII.
+ASCII_PATTERNS = {
+    "_upper": "[A-Z]+",
+    "_digit": "[0-9]+",
+    "_point": r"[.,;:!?'\"()\[\]{}-]+",
+}
+WIDE_PATTERNS = {
+    "_latin": r"[\p{L}&&[\p{IsLatin}]]+",
+    "_letter": r"[\p{L}&&[^\p{IsLatin}]]+",
+    "_mark": r"\p{M}+",
+}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -37,9 +65,9 @@ def _count(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(left)).cast("long")
 
 
-def _holding(text: Column, characters: str) -> Column:
-    """How many characters of a class of the regular expression's kind ``text`` has."""
-    return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("long")
+def _matched(text: Column, pattern: str) -> Column:
+    """How many characters of ``text`` lie in matches of a pattern."""
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
 def _shares(counts: list[Column]) -> Column:
@@ -62,20 +90,23 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def common_words(
-    docs: DataFrame, *, text: str = "text", lang: str = "lang", n_common: int = 10, min_words: int = 1000
+    docs: DataFrame, *, text: str = "text", lang: str = "lang", n_common: int = 20, min_words: int = 1000
 ) -> DataFrame:
     """(lang, ref_words, _longest, ref_shares) of each language with ``min_words`` words or more.
 
     All documents of a language count. ``ref_words`` are its ``n_common`` most
-    frequent words, lower-cased, ties in the order of the words; ``_longest`` is the
-    length of the longest; ``ref_shares`` has the share of all other words first. Documents without a language count nowhere.
+    frequent words with a letter, lower-cased, ties in the order of the words; ``_longest``
+    is the length of the longest; ``ref_shares`` has the share of all other words first,
+    then that of words without a letter that are no longer than the longest.
+    Documents without a language count nowhere.
     """
     if n_common >= len(CODES):
         raise ValueError(f"n_common must be under {len(CODES)}")
     known = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     words = stored(
         known.filter("lang is not null")
-        .select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
+        .select("lang", F.explode(F.split(F.lower("text"), WORD_SPLIT)).alias("word"))
+        .filter("word <> ''")
         .groupBy("lang", "word")
         .count(),
         "words",
@@ -83,17 +114,28 @@ def common_words(
     totals = words.groupBy("lang").agg(F.sum("count").alias("total")).filter(F.col("total") >= min_words)
     order = W.partitionBy("lang").orderBy(F.desc("count"), F.asc("word"))
     common = (
-        words.withColumn("n", F.row_number().over(order))
+        words.filter(F.col("word").rlike(LETTER))
+        .withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= n_common)
         .groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("n", "word", "count"))).alias("top"))
+        .withColumn("_longest", F.array_max(F.transform("top.word", F.length)))
+    )
+    bare = (
+        words.filter(~F.col("word").rlike(LETTER))
+        .join(common.select("lang", "_longest"), "lang")
+        .filter(F.length("word") <= F.col("_longest"))
+        .groupBy("lang")
+        .agg(F.sum("count").alias("bare"))
+    )
+    share = F.transform(
+        F.concat(F.array(F.coalesce("bare", F.lit(0))), "top.count"), lambda x: x / F.col("total")
     )
-    share = F.transform("top.count", lambda x: x / F.col("total"))
     rest = F.lit(1.0) - F.aggregate(share, F.lit(0.0), lambda a, x: a + x)
-    return totals.join(common, "lang").select(
+    return totals.join(common, "lang").join(bare, "lang", "left").select(
         "lang",
         F.col("top.word").alias("ref_words"),
-        F.array_max(F.transform("top.word", F.length)).alias("_longest"),
+        "_longest",
         F.concat(F.array(F.greatest(rest, F.lit(0.0))), share).alias("ref_shares"),
     )
 
@@ -110,19 +152,29 @@ def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in COUNTS]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(*kept, words_of(F.col(f"`{text}`")).alias("_words"), lines.alias("_lines"))
-    window = lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))
+    # Most of a text is lower-case Latin letters and white space: what else it has is looked at without them.
+    rows = docs.select(
+        *kept,
+        F.array_remove(F.split(body, WORD_SPLIT), "").alias("_words"),
+        lines.alias("_lines"),
+        F.length(body).cast("long").alias("_chars"),
+        F.regexp_replace(body, "[a-z]+", "").alias("_no_lower"),
+    ).withColumn("_rest", F.regexp_replace("_no_lower", r"[\x20\x09-\x0D]+", ""))
+    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    window = lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2))
     rows = rows.select(
         *kept,
         "_words",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(body).cast("long").alias("_chars"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        _count(body, SYMBOLS).alias("n_symbols"),
+        "_chars",
+        "_rest",
+        (F.col("_chars") - F.length("_no_lower")).alias("_lower"),
+        (F.length("_no_lower") - F.length("_rest")).cast("long").alias("_white"),
+        _count(F.col("_rest"), SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(
             F.size("_words") >= 3,
-            F.slice(F.transform("_words", window), F.lit(1), F.size("_words") - 2),
+            F.slice(F.transform("_hashes", window), F.lit(1), F.size("_words") - 2),
         ).alias("_windows"),
     )
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -155,9 +207,11 @@ def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         *[F.col(f"`{c}`") for c in names],
         "_words",
         "_chars",
-        (F.col("_chars") - F.col("word_chars")).alias("_white"),
+        "_rest",
+        "_lower",
+        "_white",
         "n_words",
-        "word_chars",
+        (F.col("_chars") - F.col("_white")).alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
@@ -169,7 +223,7 @@ def judge_quality(
     *,
     text: str = "text",
     lang: str = "lang",
-    n_common: int = 10,
+    n_common: int = 20,
     min_words: int = 50,
     max_repeat_percent: int = 50,
     judged_words: int = 50,
@@ -196,30 +250,34 @@ def judge_quality(
         common_words(docs, text=text, lang=lang, n_common=n_common, min_words=reference_words)
     )
     carried = [c for c in docs.columns if c not in results and c != text]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = quality_counts(docs.drop(*[c for c in results if c != text]), text)
     rows = rows.join(words.withColumnRenamed("lang", "_lang"), F.col(f"`{lang}`") == F.col("_lang"), "left")
     # Common words are short, so most others need no look at the list.
+    place = lambda w: F.array_position("ref_words", F.lower(w))
     code = F.transform(
         F.filter("_words", lambda w: F.length(w) <= F.col("_longest")),
-        lambda w: F.substring(
-            F.lit(CODES), (F.array_position("ref_words", F.lower(w)) + 1).cast("int"), F.lit(1)
+        lambda w: F.when(w.rlike(LETTER), F.substring(F.lit(CODES), (place(w) + 1).cast("int"), F.lit(1))).otherwise(
+            F.lit(BARE)
         ),
     )
     keep = [F.col(f"`{c}`") for c in carried]
-    rows = rows.select(
+    # Few texts have much beyond ASCII, and many nothing.
+    wide = F.when(F.octet_length("_rest") == F.length("_rest"), F.lit("")).otherwise(
+        F.regexp_replace("_rest", r"[\x00-\x7F]+", "")
+    )
+    rows = rows.withColumn("_wide", wide).select(
         *keep,
         *COUNTS,
         "_lang",
         "_chars",
         "_white",
-        _holding(body, "A-Z").alias("_upper"),
-        _holding(body, "0-9").alias("_digit"),
-        _holding(body, r".,;:!?'\"()\[\]{}-").alias("_point"),
+        "_lower",
+        *[_matched(F.col("_rest"), pattern).alias(name) for name, pattern in ASCII_PATTERNS.items()],
+        *[_matched(F.col("_wide"), pattern).alias(name) for name, pattern in WIDE_PATTERNS.items()],
         F.array_join(code, "").alias("_code"),
         "ref_shares",
     )
-    uses = [_count(F.col("_code"), c) for c in CODES[1 : n_common + 1]]
+    uses = [_count(F.col("_code"), c) for c in BARE + CODES[1 : n_common + 1]]
     other = F.col("n_words") - F.length(F.translate("_code", "0", ""))
     rows = rows.withColumn("_uses", F.array(other.cast("long"), *uses)).drop("_code")
     shares = F.transform("_uses", lambda x: x / F.col("n_words"))

@@ -1,6 +1,8 @@
 """Operators on texts against brute force, and their edge rows."""
 
 import re
+import tracemalloc
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.crf import LanguageModel, fit, identify_languages, marginals, words_in
 from cohortlens.llm.licenses import TEMPLATES, TemplateIndex, scan_licenses, scan_text, winnow
 from cohortlens.llm.packing import Encoder, pack, padding, sequences
-from cohortlens.llm.quality import judge_quality
+from cohortlens.llm.quality import common_words, judge_quality
 from cohortlens.llm.simhash import simhash_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,25 +81,79 @@ def shannon_distance(p, q):
     return np.sqrt((part(p) + part(q)) / 2)
 
 
-def test_word_distance_matches_brute_force(spark, sample):
-    rows = {r["doc_id"]: r for r in sample.collect()}
+def class_counts(text):
+    """Lower, white, symbols, upper, digits, points, other Latin letters, other letters, marks, rest."""
+    counts = Counter()
+    for c in text or "":
+        kind = unicodedata.category(c)
+        if c.isascii() and c.islower():
+            counts[0] += 1
+        elif c in " \t\n\x0b\x0c\r":
+            counts[1] += 1
+        elif c in "#*$%&|<>":
+            counts[2] += 1
+        elif c.isascii() and c.isupper():
+            counts[3] += 1
+        elif c in "0123456789":
+            counts[4] += 1
+        elif c in ".,;:!?'\"()[]{}-":
+            counts[5] += 1
+        elif kind[0] == "L":
+            counts[6 if "LATIN" in unicodedata.name(c) else 7] += 1
+        elif kind[0] == "M":
+            counts[8] += 1
+        else:
+            counts[9] += 1
+    return [counts[i] for i in range(10)]
+
+
+def test_distances_and_verdicts_match_brute_force(spark, sample):
+    odd = [
+        ("Привет мир это текст на другом письме " * 12, "en"),
+        ("the of and | | | 12 34 | x | " * 15, "en"),
+        ("é ü ñ ç " * 60 + "a\u0301 日本 ½ " * 20, "fr"),
+        ("word " * 60, "xx"),
+    ]
+    docs = sample.union(spark.createDataFrame([(10**6 + i, t, g, "s", 0) for i, (t, g) in enumerate(odd)], DOCS))
+    rows = {r["doc_id"]: r for r in docs.collect()}
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())
-    totals = {}
+    letters = lambda w: any(unicodedata.category(c)[0] == "L" for c in w)
+    words, classes = {}, {}
     for r in rows.values():
-        totals.setdefault(r["lang"], Counter()).update(split(r["text"]))
-    checked = 0
-    for got in judge_quality(sample).collect():
-        counts = totals[rows[got["doc_id"]]["lang"]]
-        if got["word_distance"] is None:
+        words.setdefault(r["lang"], Counter()).update(split(r["text"]))
+        classes.setdefault(r["lang"], np.zeros(10))[:] += class_counts(r["text"])
+    checked = Counter()
+    for got in judge_quality(docs).collect():
+        row = rows[got["doc_id"]]
+        counts, own = words[row["lang"]], Counter(split(row["text"]))
+        n, total = sum(own.values()), sum(counts.values())
+        if total < 1000 or n < 50 or len(row["text"]) < 200:
+            assert got["word_distance"] is None and got["class_distance"] is None
+            assert got["kept"] is not got["base_failed"]
+            checked["short"] += 1
             continue
-        top = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:10]
-        own, total = Counter(split(rows[got["doc_id"]]["text"])), sum(counts.values())
-        p = [own[w] for w, _ in top]
-        q = [n / total for _, n in top]
-        want = shannon_distance([sum(own.values()) - sum(p), *p], [1 - sum(q), *q])
+        known = [(w, k) for w, k in counts.items() if letters(w)]
+        top = sorted(known, key=lambda x: (-x[1], x[0].encode()))[:20]
+        longest = max(len(w) for w, _ in top)
+        bare = lambda c: sum(k for w, k in c.items() if len(w) <= longest and not letters(w))
+        p, q = [bare(own), *[own[w] for w, _ in top]], [bare(counts), *[k for _, k in top]]
+        want = shannon_distance([n - sum(p), *p], np.array([total - sum(q), *q]) / total)
         assert got["word_distance"] == pytest.approx(want, abs=1e-9)
-        checked += 1
-    assert checked > 100
+        shares = classes[row["lang"]] / classes[row["lang"]].sum()
+        apart = shannon_distance(class_counts(row["text"]), shares)
+        assert got["class_distance"] == pytest.approx(apart, abs=1e-9)
+        assert got["kept"] == (not got["base_failed"] and apart <= 0.27 and want <= 0.42)
+        checked[got["kept"]] += 1
+    assert checked[True] > 80 and checked[False] > 5 and checked["short"] > 1
+    wrong = {r["doc_id"]: r["class_distance"] for r in judge_quality(docs).collect()}
+    assert wrong[10**6] > 0.5  # the wrong script diverges
+
+
+def test_ties_among_common_words_go_by_the_word(spark):
+    text = " ".join(f"{a}{b} " * 3 for a in "abcdefgh" for b in "xyz")
+    docs = documents(spark, [text * 20])
+    (row,) = common_words(docs, min_words=100).collect()
+    assert row["ref_words"] == [f"{a}{b}" for a in "abcdefgh" for b in "xyz"][:20]
 
 
 def test_quality_keeps_clean_and_drops_junk(spark):
@@ -206,6 +262,46 @@ def test_switched_text_gets_spans(spark):
     assert by_lang["de"] > 50 and by_lang["es"] > 50 and row["spans"][0]["lang"] == "de"
 
 
+def test_letters_and_edge_rows_of_languages(spark, sample):
+    assert words_in("½ ² ① Ⅷ 12 _") == [] and words_in("x² Été 日本 ½a") == ["x", "été", "日本", "a"]
+    texts = ["½ ² ①", "² _ 12", None, "", "the man", "the man", "x " * 70_000]
+    odd = [(10**6 + i, t, "zz" if i < 4 else None, None, None) for i, t in enumerate(texts)] + [(None, "und", None, None, 7)]
+    docs = sample.union(spark.createDataFrame(odd, DOCS)).withColumns({c: F.lit("clash") for c in ("lang_pred", "score", "certainty", "spans", "_text")})
+    docs = docs.union(docs.filter("doc_id = 1000004"))
+    got = identify_languages(docs, rounds=8, spans=False).collect()
+    assert len(got) == docs.count() and "text" not in got[0].asDict()
+    und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
+    assert und == {10**6 + i for i in range(4)} and {r["score"] for r in got if r["doc_id"] in und} == {0.0}
+    assert all(0 <= r["score"] <= r["certainty"] + 1e-9 <= 1 + 1e-6 for r in got if r["doc_id"] not in und)
+    same = [(r["lang_pred"], round(r["score"], 9)) for r in got if r["doc_id"] in (10**6 + 4, 10**6 + 5)]
+    assert len(same) == 3 and len(set(same)) == 1
+    carried = identify_languages(docs, rounds=2, spans=False, carry=["doc_id", "text"]).collect()
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"]: r["text"] for r in carried} == whole
+
+
+def test_learned_languages_are_bounded(spark):
+    rows = [(i, f"{'abcdefghijkl'[i % 12] * 3} word{i % 12}", f"l{i % 12:02}", "s", 1) for i in range(12 * 20)]
+    rows += [(1000 + i, "extra text", "l03", "s", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["lang_pred"] for r in identify_languages(docs, rounds=10, max_languages=3).collect()}
+    assert got <= {"l00", "l01", "l03"}  # most rows first, then by name
+    many = identify_languages(docs, rounds=10, spans=False).filter("doc_id < 1000").collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 12:02}" for r in many) > 0.95 * len(many)
+
+
+def test_memory_of_marginals_is_that_of_the_scores():
+    rng, n = np.random.default_rng(0), 12
+    model = LanguageModel([str(i) for i in range(n)], np.zeros((1, n)), rng.normal(size=(n, n)), np.zeros(n))
+    lengths = np.full(20_000, 4)
+    scores = rng.normal(size=(lengths.sum(), n))
+    tracemalloc.start()
+    marginals(model, scores, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * scores.nbytes
+
+
 def test_nothing_learned_is_undetermined(spark):
     got = identify_languages(documents(spark, ["some text", None], lang=None)).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)] * 2
