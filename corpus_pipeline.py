@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next one's docs. All but the last return the columns of
-``documents``.
+``documents``, and those alone: other columns are left behind by the first stage.
 """
 
 from __future__ import annotations
@@ -19,27 +19,29 @@ from cohortlens.llm.queries import MIX_WEIGHTS, mix_levels
 from cohortlens.llm.simhash import simhash_components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIN_LANGUAGE_SCORE = 0.5
+MIN_CERTAINTY = 0.5
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents in no known language: no letters, or no language at half of their words.
+    """Reject documents in no known language: no letters, or words that are not surely of any.
 
-    Null texts have no letters. A missing language is filled in; others stay as stated.
+    What counts is how surely each word is of some language, so text that switches
+    between known languages stays. Null texts have no letters. A missing language is
+    filled in; others stay as stated.
     """
     found = identify_languages(docs, carry=[*COLUMNS], spans=False, learn=F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("certainty") >= MIN_CERTAINTY))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one line of each group; a document that loses its last line of five words goes with it.
+    """Keep one line of each group; a document of which nothing but white space is left goes with its lines.
 
     Documents that lose no line stay, those without text included. ``n_chars`` follows
     the text.
     """
     rows = dedup_lines(docs.select(*COLUMNS))
-    gone = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"(?:\p{L}+[^\p{L}\n]+){4}\p{L}")
+    gone = (F.col("n_dropped") > 0) & (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "")
     rows = rows.filter(~F.coalesce(gone, F.lit(False)))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return rows.withColumn("n_chars", changed).select(*COLUMNS)
