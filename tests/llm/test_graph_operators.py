@@ -437,7 +437,9 @@ def test_pipeline_stages_match_brute_force(spark):
         kept = [x for k, x in enumerate(lines) if (at, k) not in dropped]
         if len(kept) == len(lines) or "\n".join(kept).strip(" \t\n\x0b\x0c\r"):
             want[i] = "\n".join(kept)
-    assert {r["doc_id"]: r["text"] for r in deduped.collect()} == want and 10**6 + 3 not in want
+    assert {r["doc_id"]: r["text"] for r in deduped.collect()} == want
+    # a copy keeps the lines that are too short to be compared
+    assert all(len(normalise(x).split()) < 5 for x in want.get(10**6 + 3, "").split("\n"))
     prints = {i: plain_fingerprint(t) for i, t in want.items()}
     pairs = [(a, b) for a in prints for b in prints if b <= a and (prints[a] ^ prints[b]).bit_count() <= 3]
     firsts = set(union_find(pairs).values())
