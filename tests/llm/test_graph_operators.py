@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,7 +136,8 @@ def line_simhash(norm):
 
 
 def normalise(line):
-    return " ".join("".join(c if c.isalpha() else " " for c in line.lower()).split())
+    known = lambda c: unicodedata.category(c)[0] in "LN"
+    return " ".join("".join(c if known(c) else " " for c in line.lower()).split())
 
 
 def kept_lines(texts, min_words=5):
@@ -190,6 +192,26 @@ def test_line_dedup_matches_brute_force(spark):
         assert r["n_dropped"] == len(lines) - len(kept)
 
 
+def test_lines_that_differ_in_numbers_are_apart(spark):
+    rows = ["row of alpha beta gamma delta 1 2 3 epsilon", "row of alpha beta gamma delta 9 8 7 epsilon"]
+    far = ["total 1111 2222 3333 4444 5555", "total 6666 7777 8888 9999 1234", "Total: 1111, 2222, 3333, 4444, 5555."]
+    docs = documents(spark, ["\n".join(far), "\n".join(rows)])
+    for options in ({}, {"run_keys": 12}):
+        got = {r["doc_id"]: r["text"] for r in dedup_lines(docs, **options).collect()}
+        assert got[0] == "\n".join(far[:2])
+    plan = dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_registered_line_options_on_edge_rows(spark):
+    long = "word " * 3000 + "end"
+    lines = [None, "", "a line of five words", "A line of five words!", long, long + " more", "\n\n"]
+    docs = documents(spark, lines).withColumns({c: F.lit("clash") for c in ("n_lines", "h", "doc", "pos", "group")})
+    docs = docs.union(docs.filter("doc_id = 3"))
+    got = sorted((r["doc_id"], r["text"]) for r in dedup_lines(docs, run_keys=12).collect() if r["doc_id"] > 0)
+    assert got == [(1, ""), (2, lines[2]), (3, ""), (3, ""), (4, long), (5, ""), (6, "\n\n")]
+
+
 def test_blocks_meet_every_near_pair():
     rng = np.random.default_rng(2)
     for blocks in (4, 5, 6):
