@@ -1,11 +1,12 @@
 """Exact top-k inner products by term-at-a-time accumulation.
 
-A vector's components are its terms. Candidates are packed into blocks, and each
-block is turned into posting lists: for every component, the rows that have it
-and their weights. A block of query rows, held sparsely, scatters each weighted
-posting list into a dense array of scores, one for each candidate of the block. A
-partition selection keeps the k best of a block, and a merge keeps the k best of
-all blocks. Every query meets every block, so the result is exact.
+A vector's components are its terms. Candidates stay where they are: a task packs its
+own into blocks, and turns each block into posting lists: for every component, the
+rows that have it and their weights. Query rows, held sparsely, come to all tasks, a
+bounded number at a time. Each scatters its weighted posting lists into a dense array
+of scores, one for each candidate of the block. A partition selection keeps the k best
+of a task's candidates, and a merge keeps the k best of all tasks. Every query meets
+every candidate, so the result is exact, and only k rows a query and task are shuffled.
 """
 
 from __future__ import annotations
@@ -20,81 +21,104 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import stored
 
-PACKED = "block long, row array<long>, id array<long>, lengths array<int>, terms array<int>, weights array<long>"
-PARTS = ("row", "id", "lengths", "terms", "weights")
+# Components of the queries that are broadcast at a time.
+QUERY_NUMBERS = 4_000_000
 RESULT = "query_id long, rank int, vec_id long, score long"
-SALTS = 64
+SCORED = "q_row long, query_id long, id long, score long"
+
+
+class Queries:
+    """Query rows, sparse: the terms and weights of all of them end to end."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: list[np.ndarray]):
+        self.rows, self.ids = rows, ids
+        terms = [np.flatnonzero(v) for v in vectors]
+        self.ends = np.concatenate([[0], np.cumsum([len(t) for t in terms], dtype=np.int64)])
+        self.terms = np.concatenate([np.zeros(0, np.int64), *terms])
+        self.weights = np.concatenate([np.zeros(0, np.int64), *[v[t] for v, t in zip(vectors, terms)]])
+
+
+class Postings:
+    """A block of candidates as posting lists: for each term its rows and their weights."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: list[np.ndarray]):
+        self.rows, self.ids = rows, ids
+        terms = [np.flatnonzero(v) for v in vectors]
+        owner = np.repeat(np.arange(len(vectors)), [len(t) for t in terms])
+        weights = np.concatenate([np.zeros(0, np.int64), *[v[t] for v, t in zip(vectors, terms)]])
+        terms = np.concatenate([np.zeros(0, np.int64), *terms])
+        order = np.argsort(terms, kind="stable")
+        self.owner, self.weights = owner[order], weights[order]
+        last = int(terms.max(initial=-1)) + 1
+        self.starts = np.searchsorted(terms[order], np.arange(last + 1))
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The inner products of every candidate with one query."""
+        scores = np.zeros(len(self.ids), np.int64)
+        for term, weight in zip(terms, weights):
+            if term + 1 < len(self.starts):
+                a, b = self.starts[term], self.starts[term + 1]
+                # a row has a term once, so no place is hit twice
+                scores[self.owner[a:b]] += weight * self.weights[a:b]
+        return scores
+
+
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest scores, equal ones by smaller id."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above, level = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+    level = level[np.argsort(ids[level], kind="stable")[: k - len(above)]]
+    return np.concatenate([above, level])
 
 
-def _pack(block_rows: int):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+def _blocks(batches: Iterator[pd.DataFrame], block_rows: int) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, len(batch), block_rows):
+            part = batch.iloc[at : at + block_rows]
+            if size + len(part) > block_rows:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+    if size:
+        yield pd.concat(held, ignore_index=True)
 
-        def out(rows: pd.DataFrame) -> pd.DataFrame:
-            vectors = [np.asarray(v, dtype=np.int64) for v in rows["vector"]]
-            lengths = [np.count_nonzero(v) for v in vectors]
-            terms = [np.flatnonzero(v) for v in vectors]
-            weights = [v[t] for v, t in zip(vectors, terms)]
-            one = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
-            return pd.DataFrame(
-                {
-                    "block": [int(rows["row"].iloc[0])],
-                    "row": [rows["row"].to_numpy()],
-                    "id": [rows["id"].to_numpy()],
-                    "lengths": [np.asarray(lengths, np.int32)],
-                    "terms": [one(terms, np.int32)],
-                    "weights": [one(weights, np.int64)],
-                }
-            )
 
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= block_rows:
-                rows = pd.concat(held, ignore_index=True)
-                for at in range(0, len(rows) - block_rows + 1, block_rows):
-                    yield out(rows.iloc[at : at + block_rows])
-                held = [rows.iloc[len(rows) // block_rows * block_rows :]]
-        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
-        if len(rows):
-            yield out(rows)
-
-    return pack
-
-
-def _score(k: int):
-    """Batches of (query block, candidate block) to the k best of the block for each query."""
-
-    def best(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        if len(scores) > k:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            above, level = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
-            level = level[np.argsort(ids[level], kind="stable")[: k - len(above)]]
-            return np.concatenate([above, level])
-        return np.arange(len(scores))
+def _vectors(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    vectors = [np.asarray(v, dtype=np.int64) for v in rows["vector"]]
+    return rows["row"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), vectors
+
+
+def _score(shared, k: int, block_rows: int):
+    """A task's candidates to the k best of them for each query."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for pair in batch.itertuples(index=False):
-                ids, rows = np.asarray(pair.id), np.asarray(pair.row)
-                owner = np.repeat(np.arange(len(ids)), pair.lengths)
-                order = np.argsort(pair.terms, kind="stable")
-                owner, weights = owner[order], np.asarray(pair.weights)[order]
-                last = int(max(pair.terms.max(initial=-1), pair.q_terms.max(initial=-1))) + 1
-                starts = np.searchsorted(pair.terms[order], np.arange(last + 1))
-                ends = np.concatenate([[0], np.cumsum(pair.q_lengths)])
-                found: list[tuple[np.ndarray, ...]] = []
-                for q, (q_id, q_row) in enumerate(zip(pair.q_id, pair.q_row)):
-                    scores = np.zeros(len(ids), np.int64)
-                    for at in range(ends[q], ends[q + 1]):
-                        a, b = starts[pair.q_terms[at]], starts[pair.q_terms[at] + 1]
-                        # a row has a term once, so no place is hit twice
-                        scores[owner[a:b]] += pair.q_weights[at] * weights[a:b]
-                    others = np.flatnonzero(rows != q_row)
-                    hit = others[best(scores[others], ids[others])]
-                    found.append((np.full(len(hit), q_row), np.full(len(hit), q_id), ids[hit], scores[hit]))
-                if found:
-                    cols = [np.concatenate(c) for c in zip(*found)]
-                    yield pd.DataFrame(dict(zip(("q_row", "query_id", "id", "score"), cols)))
+        queries: Queries = shared.value
+        held_ids = [np.zeros(0, np.int64) for _ in queries.ids]
+        held_scores = [np.zeros(0, np.int64) for _ in queries.ids]
+        for rows in _blocks(batches, block_rows):
+            block = Postings(*_vectors(rows))
+            for q, q_row in enumerate(queries.rows):
+                a, b = queries.ends[q], queries.ends[q + 1]
+                scores = block.scores(queries.terms[a:b], queries.weights[a:b])
+                others = np.flatnonzero(block.rows != q_row)
+                ids = np.concatenate([held_ids[q], block.ids[others]])
+                scores = np.concatenate([held_scores[q], scores[others]])
+                kept = best(scores, ids, k)
+                held_ids[q], held_scores[q] = ids[kept], scores[kept]
+        counts = [len(x) for x in held_ids]
+        if sum(counts):
+            yield pd.DataFrame(
+                {
+                    "q_row": np.repeat(queries.rows, counts),
+                    "query_id": np.repeat(queries.ids, counts),
+                    "id": np.concatenate(held_ids),
+                    "score": np.concatenate(held_scores),
+                }
+            )
 
     return score
 
@@ -108,7 +132,7 @@ def top_k(
     k: int = 10,
     scale: int = 1024,
     block_rows: int = 4096,
-    query_rows: int = 512,
+    query_rows: int = 65_536,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` greatest inner products of each query row.
 
@@ -120,8 +144,10 @@ def top_k(
     both have components. Rows that repeat an id are candidates of their own, and
     each gets its own result as a query. No vectors or no queries give no rows.
 
-    Bounds: a task holds one block of queries and one of candidates at a time. A
-    query's rows after scoring number k for each candidate block.
+    Bounds: about ``query_rows`` queries are broadcast at a time, fewer if their
+    components would number more than :data:`QUERY_NUMBERS`, and the candidates are read
+    once for each such part. A task holds that part, one block of candidates, and k rows
+    a query; the merge reads k rows a query and task.
     """
     x = F.col(f"`{embedding}`")
     whole = ~F.exists(
@@ -135,35 +161,36 @@ def top_k(
             whole, F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
         ).alias("vector"),
     ).filter("id is not null and vector is not null")
-    # Row numbers are read twice below, so they are written once.
+    spark = rows.sparkSession
+    # Row numbers are read more than once below, so they are written once.
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    candidates = rows.select("row", "id", "vector").mapInPandas(_pack(block_rows), PACKED)
-    asked = stored(
-        rows.filter("asks").select("row", "id", "vector").mapInPandas(_pack(query_rows), PACKED),
-        "queries",
-    )
-    # A stated query set against all rows, block by block: candidate blocks go to every
-    # query block, dealt over SALTS tasks for each, which have a copy of the query block.
-    number = W.orderBy("block")  # over one narrow row for each block of queries
-    blocks = asked.select("block", F.row_number().over(number).alias("q_no"))
-    asked = asked.join(blocks, "block").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    asked = asked.select("q_no", "salt", *[F.col(c).alias(f"q_{c}") for c in PARTS])
-    n_blocks = blocks.count()
-    if not n_blocks:
-        return rows.sparkSession.createDataFrame([], RESULT)
-    pairs = candidates.select(
-        *PARTS,
-        F.explode(F.sequence(F.lit(1), F.lit(n_blocks))).alias("q_no"),
-        F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt"),
-    ).join(asked, ["q_no", "salt"])
-    scored = pairs.select(*PARTS, *[f"q_{c}" for c in PARTS]).mapInPandas(
-        _score(k), "q_row long, query_id long, id long, score long"
-    )
-    order = W.partitionBy("q_row").orderBy(F.desc("score"), F.asc("id"))
-    return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", F.col("id").alias("vec_id"), "score")
-    )
+    candidates = rows.select("row", "id", "vector")
+    found = None
+    for asked, last in _query_parts(rows.filter("asks").select("row", "id", "vector"), query_rows):
+        shared = spark.sparkContext.broadcast(Queries(*_vectors(asked)))
+        scored = candidates.mapInPandas(_score(shared, k, block_rows), SCORED)
+        order = W.partitionBy("q_row").orderBy(F.desc("score"), F.asc("id"))
+        ranked = (
+            scored.withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= k)
+            .select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+        )
+        if not last:
+            ranked = stored(ranked, "ranked")
+            shared.unpersist()
+        found = ranked if found is None else found.unionByName(ranked)
+    return spark.createDataFrame([], RESULT) if found is None else found
+
+
+def _query_parts(asked: DataFrame, query_rows: int) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """The query rows in parts dealt by their row number, and whether a part is the last."""
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    at_once = max(1, min(query_rows, QUERY_NUMBERS // max(1, size["width"] or 1)))
+    parts = -(-size["n"] // at_once)
+    if parts > 1:
+        asked = stored(
+            asked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))), "queries"
+        )
+    for part in range(parts):
+        own = asked.filter(F.col("part") == part).drop("part") if parts > 1 else asked
+        yield own.toPandas(), part == parts - 1
