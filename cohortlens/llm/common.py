@@ -15,12 +15,15 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a folder of this
-    machine is made and set for the session.
+    Only in a local session, as in tests, may that be unset: a folder of this machine
+    is then made and set for the session. On a cluster each executor would write to a
+    disk of its own, so it is an error there.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cohortlens-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

@@ -4,6 +4,7 @@ import hashlib
 import os
 import unicodedata
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -499,5 +500,12 @@ def test_pipeline_of_no_documents(spark):
         assert docs.count() == 0
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    conf = SimpleNamespace(get=lambda key, default: default)
+    cluster = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        new_path(SimpleNamespace(sparkContext=cluster), "x")
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert os.path.dirname(new_path(spark, "x")) == (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or new_path(spark, "y").rpartition("/")[0])
