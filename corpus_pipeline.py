@@ -20,6 +20,8 @@ from cohortlens.llm.simhash import simhash_components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_CERTAINTY = 0.5
+# Hashes of word runs on which lines meet, beside the bits of their fingerprints.
+LINE_RUN_KEYS = 3
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Documents that lose no line stay, those without text included. ``n_chars`` follows
     the text.
     """
-    rows = dedup_lines(docs.select(*COLUMNS))
+    rows = dedup_lines(docs.select(*COLUMNS), run_keys=LINE_RUN_KEYS)
     gone = (F.col("n_dropped") > 0) & (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "")
     rows = rows.filter(~F.coalesce(gone, F.lit(False)))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
