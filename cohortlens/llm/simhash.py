@@ -21,13 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import longs_again, longs_as_text, stored
+from cohortlens.llm.common import drop_stored, longs_again, longs_as_text, stored
 from cohortlens.llm.components import connected_components
 
 BITS = 64
 SEED = 42
 # Counts are kept of this many bits of a partition at most, so their tables are bounded.
 COUNTED_BITS = 16
+# How far apart in their order fingerprints are linked before any is probed; all others are found by the probes.
+NEIGHBOURS = 8
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -171,16 +173,12 @@ def _partitions_for(n: int, most: int) -> int:
     return min(range(2, most + 2), key=work) if most else 1
 
 
-def link_fingerprints(
-    fingerprints: DataFrame, *, max_distance: int = 3, partitions: int | None = None
-) -> DataFrame:
-    """(a, b): pairs a > b of the distinct longs in ``fp`` that differ in ``max_distance`` bits or fewer.
+def _plan(fps: DataFrame, max_distance: int, partitions: int | None) -> tuple[list[list[int]], list[np.ndarray]]:
+    """The groups of bits, and what each value of a group costs to probe.
 
     Nothing that grows with the input reaches the driver: 64 x 64 counts of bit
     pairs, and counts of at most 2**16 values of each partition.
     """
-    spark = fingerprints.sparkSession
-    fps = fingerprints.select("fp")
     n = fps.count()
     m = partitions or _partitions_for(n, max_distance)
     cells = fps.mapInPandas(_pair_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -188,6 +186,16 @@ def link_fingerprints(
     for r in cells.collect():
         together[r["cell"]] = r["n"]
     groups = group_bits(together.reshape(BITS, BITS), n, m)
+    low = (1 << COUNTED_BITS) - 1
+    seen = _index(fps, groups).groupBy("part", F.col("value").bitwiseAND(F.lit(low)).alias("v")).count()
+    counts = [np.zeros(1 << min(len(g), COUNTED_BITS)) for g in groups]
+    for r in seen.collect():
+        counts[r["part"]][r["v"]] = r["count"]
+    return groups, [candidate_costs(c, len(g), max_distance) for c, g in zip(counts, groups)]
+
+
+def _index(fps: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """``fps`` once for each group of bits: part and value."""
 
     def value(bits: list[int]):
         shifted = [F.shiftleft(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)), to) for to, b in enumerate(bits)]
@@ -196,25 +204,21 @@ def link_fingerprints(
             out = out.bitwiseOR(s)
         return out.cast("long")
 
-    index = fps.select(
-        "fp", F.posexplode(F.array(*[value(g) for g in groups])).alias("part", "value")
-    )
-    low = (1 << COUNTED_BITS) - 1
-    seen = index.groupBy("part", F.col("value").bitwiseAND(F.lit(low)).alias("v")).count()
-    counts = [np.zeros(1 << min(len(g), COUNTED_BITS)) for g in groups]
-    for r in seen.collect():
-        counts[r["part"]][r["v"]] = r["count"]
-    costs = [candidate_costs(c, len(g), max_distance) for c, g in zip(counts, groups)]
-    shared = spark.sparkContext.broadcast((groups, costs))
+    return fps.select("*", F.posexplode(F.array(*[value(g) for g in groups])).alias("part", "value"))
+
+
+def _probes(fps: DataFrame, groups: list[list[int]], costs: list[np.ndarray], max_distance: int) -> DataFrame:
+    """(part, value, probe, ...): the values that each fingerprint probes, with the other longs of ``fps``."""
+    shared = fps.sparkSession.sparkContext.broadcast((groups, costs))
+    others = [c for c in fps.columns if c != "fp"]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups, costs = shared.value
         masks = [[_masks(len(g), u - 1) if u else None for u in range(max_distance + 2)] for g in groups]
         for batch in batches:
-            fps = batch["fp"].to_numpy()
-            for at in range(0, len(fps), 4096):
-                some = fps[at : at + 4096]
-                values = [gather(some, g) for g in groups]
+            for at in range(0, len(batch), 4096):
+                some = {c: batch[c].to_numpy()[at : at + 4096] for c in ["fp", *others]}
+                values = [gather(some["fp"], g) for g in groups]
                 for part, us in enumerate(allocate(costs, values, max_distance)):
                     for u in range(1, max_distance + 2):
                         rows = us == u
@@ -224,19 +228,93 @@ def link_fingerprints(
                                 {
                                     "part": np.int32(part),
                                     "value": (values[part][rows][:, None] ^ around).ravel(),
-                                    "probe": np.repeat(some[rows], len(around)),
+                                    "probe": np.repeat(some["fp"][rows], len(around)),
+                                    **{c: np.repeat(some[c][rows], len(around)) for c in others},
                                 }
                             )
 
-    probes = fps.mapInPandas(probe, "part int, value long, probe long")
+    more = "".join(f", {c} long" for c in others)
+    return fps.mapInPandas(probe, f"part int, value long, probe long{more}")
+
+
+def link_fingerprints(
+    fingerprints: DataFrame, *, max_distance: int = 3, partitions: int | None = None
+) -> DataFrame:
+    """(a, b): all pairs a > b of the distinct longs in ``fp`` that differ in ``max_distance`` bits or fewer.
+
+    Their number grows with the square of a dense group; :func:`spanning_links` does not.
+    """
+    fps = fingerprints.select("fp")
+    groups, costs = _plan(fps, max_distance, partitions)
     near = F.expr(f"probe > fp AND bit_count(probe ^ fp) <= {int(max_distance)}")
     return (
-        probes.join(index.hint("merge"), ["part", "value"])
+        _probes(fps, groups, costs, max_distance)
+        .join(_index(fps, groups).hint("merge"), ["part", "value"])
         .filter(near)
         .select(F.col("probe").alias("a"), F.col("fp").alias("b"))
     )
 
 
+def _neighbour_links(index: DataFrame, max_distance: int) -> DataFrame:
+    """(a, b): near pairs at most ``NEIGHBOURS`` apart in the order of part, value and fingerprint.
+
+    A range of that order is a task's, so a value that very many share is spread. Pairs
+    across two ranges are left to the probes.
+    """
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = np.zeros(0, np.int64)
+        for batch in batches:
+            fps = np.concatenate([tail, batch["fp"].to_numpy()])
+            for lag in range(1, min(NEIGHBOURS, len(fps) - 1) + 1):
+                a, b = fps[lag:], fps[:-lag]
+                near = (np.bitwise_count((a ^ b).view(np.uint64)) <= max_distance) & (a != b)
+                near[: max(len(tail) - lag, 0)] = False  # the batch before had these
+                yield pd.DataFrame({"a": a[near], "b": b[near]})
+            tail = fps[-NEIGHBOURS:]
+
+    order = ["part", "value", "fp"]
+    return index.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(link, "a long, b long")
+
+
+def spanning_links(
+    fingerprints: DataFrame, *, max_distance: int = 3, partitions: int | None = None
+) -> DataFrame:
+    """(a, b): pairs of :func:`link_fingerprints`, in either order, that join the same groups as all of them.
+
+    First, neighbours in the order of each partition's values are linked and grouped: in
+    a dense group these few links join nearly all of it. Then the probes are made. A
+    value's main group is the one most of its fingerprints are in. Members of it meet
+    only the others there, so the pairs inside it, whose number grows with its square,
+    are neither made nor compared. Of the pairs that meet, those of two groups are
+    verified on all bits.
+    """
+    spark = fingerprints.sparkSession
+    fps = fingerprints.select("fp")
+    groups, costs = _plan(fps, max_distance, partitions)
+    first = stored(_neighbour_links(_index(fps, groups), max_distance), "neighbours")
+    labels = connected_components(first).withColumnRenamed("node", "fp")
+    labelled = stored(
+        fps.join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("c")), "labelled"
+    )
+    index = _index(labelled, groups)
+    sizes = index.groupBy("part", "value", "c").count()
+    main = stored(sizes.groupBy("part", "value").agg(F.max_by("c", F.struct("count", "c")).alias("main")), "main")
+    met = _probes(labelled, groups, costs, max_distance).join(main, ["part", "value"])
+    met = stored(met.withColumnRenamed("c", "d"), "probes")
+    others = index.join(main, ["part", "value"]).filter("c <> main").drop("main")
+    pairs = [
+        met.filter("d <> main").join(index.hint("merge"), ["part", "value"]),
+        met.filter("d = main").join(others.hint("merge"), ["part", "value"]),
+    ]
+    near = F.expr(f"probe > fp AND c <> d AND bit_count(probe ^ fp) <= {int(max_distance)}")
+    apart = [p.filter(near).select(F.col("probe").alias("a"), F.col("fp").alias("b")) for p in pairs]
+    links = stored(first.unionByName(apart[0]).unionByName(apart[1]), "links")
+    for table in (first, labelled, main, met):
+        drop_stored(spark, table)
+    return links
+
+
 def simhash_components(
     docs: DataFrame,
     *,
@@ -252,7 +330,8 @@ def simhash_components(
     that have it. ``component_id`` is the smallest doc_id that links reach, the
     document itself included; null ids count only where a component has no other.
     A null text, or one without a word, has fingerprint zero, which links like any
-    other. Equal fingerprints are one node, so copies are never expanded into pairs.
+    other. Equal fingerprints are one node, so copies are never expanded into pairs, and
+    of a dense group's near pairs only some that span it are made.
     Rows are kept one for one, and an empty table gives an empty one.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -264,7 +343,7 @@ def simhash_components(
         prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("class_size")), "classes"
     )
     labels = connected_components(
-        link_fingerprints(classes, max_distance=max_distance, partitions=partitions)
+        spanning_links(classes, max_distance=max_distance, partitions=partitions)
     ).withColumnRenamed("node", "fp")
     classes = classes.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -19,7 +19,7 @@ from cohortlens.llm.components import connected_components
 from cohortlens.llm.lines import dedup_lines, line_groups
 from cohortlens.llm.mixing import mix, take_copies
 from cohortlens.llm.queries import HOST_RULES, MIX_WEIGHTS, QUERIES, URL_PATTERNS, mix_levels
-from cohortlens.llm.simhash import allocate, candidate_costs, fingerprint, link_fingerprints, simhash_components
+from cohortlens.llm.simhash import allocate, candidate_costs, fingerprint, link_fingerprints, simhash_components, spanning_links
 from cohortlens.llm.sql import ORACLE_SQL
 from cohortlens.llm.topk import top_k
 from cohortlens.llm.url_filter import UrlRule, judge_urls
@@ -265,6 +265,30 @@ def test_links_match_brute_force(spark, partitions):
     assert got == want and len(want) > 100
 
 
+@pytest.mark.parametrize("partitions", [2, 4, None])
+def test_spanning_links_join_what_all_links_join(spark, partitions):
+    rng = np.random.default_rng(11)
+    fps = {int(x) for x in rng.integers(-(2**63), 2**63 - 1, 100)}
+    for base, size in ((int(rng.integers(0, 2**63)), 600), (-1, 40), (0, 40)):
+        for _ in range(size):
+            flips = sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 4), replace=False))
+            fps.add(base ^ flips)
+    frame = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long").repartition(5)
+    every = link_fingerprints(frame, partitions=partitions).collect()
+    few = spanning_links(frame, partitions=partitions).distinct().collect()
+    assert {(max(r), min(r)) for r in few} <= {tuple(r) for r in every}
+    assert union_find([tuple(r) for r in few]) == union_find([tuple(r) for r in every])
+    assert len(every) > 10_000 and len(few) < len(every) / 2
+    assert spanning_links(frame.limit(0), partitions=partitions).count() == 0
+
+
+def test_simhash_components_beside_clashing_columns(spark):
+    docs = documents(spark, ["a b c d", "a b c d", None, "x y z"])
+    clashing = docs.selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS class_size", "4 AS part", "5 AS value")
+    rows = lambda df: sorted(map(tuple, simhash_components(df).collect()))
+    assert rows(clashing) == rows(docs)
+
+
 def test_thresholds_follow_the_counts():
     counts = np.ones(1 << 16)
     crowded = np.ones(1 << 16)
