@@ -12,6 +12,24 @@ def _on(on: str | Sequence[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
+# Tasks a core that `dealt` makes at least.
+TASKS_PER_CORE = 8
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` to as many tasks as the session has shuffle partitions.
+
+    Adaptive execution joins small partitions until there is one to a core, so that what
+    a task sorts and hashes grows with the input long before there are more tasks. It
+    leaves alone a number that is asked for, and gives it to the joins and groups by
+    these keys that follow.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * cores)
+    return df.repartition(n, *keys)
+
+
 def keep_by(df: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows whose key occurs in ``other``; a null key occurs nowhere."""
     return df.join(other.select(*_on(on)).distinct(), _on(on), "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import classify_flags, text_flags
+from cohortlens.operators.relations import dealt
 from cohortlens.operators.sketches import union_of
 
 STAY_KEYS = ("subject_id", "hadm_id", "icustay_id", "intime")
@@ -68,7 +69,7 @@ def timeline_of(stays: DataFrame, state: DataFrame, flags: Sequence[str]) -> Dat
     Stays without events have null flags.
     """
     return (
-        stays.select(*STAY_KEYS)
+        dealt(stays.select(*STAY_KEYS), "icustay_id")
         .distinct()
         .join(state, "icustay_id", "left")
         .select(

@@ -171,6 +171,22 @@ def test_late_status_events_in_any_batch(spark):
         assert same(status.timeline_of(stays, merged, FLAGS), whole)
 
 
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_stays_keep_to_many_tasks(spark, setting, broadcast):
+    # adaptive execution would join all of these few rows into one task to a core
+    setting("spark.sql.shuffle.partitions", "40")
+    setting("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    at = "timestampadd(HOUR, cast(id % 50 AS int), timestamp_ntz'2150-01-01')"
+    stays = spark.range(20_000).selectExpr("id % 90 AS subject_id", "id % 900 AS hadm_id", "if(id = 7, null, id) AS icustay_id", f"{at} AS intime")
+    events = spark.range(300).selectExpr("id * 3 AS icustay_id", "128 AS itemid", f"{at} AS charttime", "'Full Code' AS value", "0 AS error")
+    timeline = status.status_timeline(stays.union(stays), events, fixed.CODE_STATUS_ITEMS, fixed.CODE_STATUS_TEXTS)
+    tasks = timeline.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count("fullcode").alias("charted")).collect()
+    assert len(tasks) >= 40 and max(r["n"] for r in tasks) < 20_000 / 10
+    assert sum(r["n"] for r in tasks) == 20_000 and sum(r["charted"] for r in tasks) == 300
+    latest = status.status_per_admission(status.classify_status(timeline, fixed.CODE_STATUS_PRIORITY))
+    assert latest.count() == 900
+
+
 # titles in chunks
 
 
